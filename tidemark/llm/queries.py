@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, packing, rule_ensemble, simhash, suffix_dedup, toxicity
+from . import ann, bpe, context_mixing, line_rules, packing, paragraph_dedup, rule_ensemble, simhash, suffix_dedup, toxicity
 from .common import table
 
 WORDS = "word_bpe_49k.json"
@@ -17,6 +22,21 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 CUT = 0.7
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", None) != context.applicationId:
+        top = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp()  # Spark serves the file as long as the application runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{top.name}-{context.applicationId}", "zip", top.parent, top.name))
+        context._tidemark_shipped = context.applicationId
+
+
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -36,6 +56,14 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.select(
@@ -62,8 +90,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+OPERATORS = (op1_nearest, op2_best_fit_packing, op3_suffix_dedup, op4_toxicity, op5_line_rules, op6_context_mixing, op7_paragraph_dedup, op8_byte_bpe, op9_rule_ensemble, op10_simhash, pipeline)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_suffix_dedup, op4_toxicity, op5_line_rules, op8_byte_bpe, op9_rule_ensemble, op10_simhash)}
+    def shipped(query: Callable) -> Callable:
+        @functools.wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: shipped(f) for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,17 +15,18 @@ from .line_rules import SYMBOLS, let, n_of, without, words
 MAX_TRAIN = 20_000
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and one row of text statistics (f_...) for every row of docs; a null text is an empty one."""
+def statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, carried columns and text statistics (f_...) for every row of docs; a null text is an empty one."""
     text = F.col("text")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cut = base.select("doc_id", "text", words(text).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.length(without(x, SPACES)) > 0).alias("lines"))
+    base = docs.select("doc_id", *carried, F.coalesce("text", F.lit("")).alias("text"))
+    cut = base.select("doc_id", *carried, "text", words(text).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.length(without(x, SPACES)) > 0).alias("lines"))
     chars, n, n_lines = F.length("text"), F.size("w"), F.size("lines")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]", ""))
     pairs = F.when(n < 2, F.lit(0)).otherwise(let(F.col("w"), lambda a: F.size(F.array_distinct(F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.xxhash64(x, y))))))
     return cut.select(
         "doc_id",
+        *carried,
         F.log1p(n.cast("double")).alias("f_words"),
         share(F.length(without(text, SPACES)), n).alias("f_word_length"),
         share(F.size(F.array_distinct("w")), n).alias("f_distinct_words"),
@@ -169,3 +170,10 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
     model = fit(seen[names].to_numpy(float).reshape(-1, len(names)), seen["_label"].to_numpy(float), names)
     out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     return stats.select("doc_id", out.alias("held_out"), model.column().alias("score")), model
+
+
+def keep(docs: DataFrame, model: RuleEnsemble, cut: float) -> DataFrame:
+    """The rows of docs that score `cut` or more, scored where they are read."""
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    scored = statistics(docs.select("doc_id", "text", row), "_row")
+    return scored.where(model.column() >= cut).select("_row.*")

@@ -183,7 +183,11 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (dk, th, text, hs, ps): of each distinct context in a piece of work one row with the places it has there."""
+    """Rows (h, c, l, r, n, places): of each distinct context (c: a hash of it) in a piece of work one row.
+
+    n: how often it occurs there. places: where, as runs of positions of one text at most `length` apart, which
+    remove one run of bytes whatever the context's offsets are; so periodic texts have few.
+    """
     k = length // 2
     for batch in pieces(batches):
         found: dict[tuple[int, bytes, bytes], list] = {}
@@ -193,21 +197,27 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             at, h = anchors(data, length)
             for p, v in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                 if v in asked:
-                    found.setdefault((v, data[max(0, p - k) : p][::-1], data[p : p + length]), []).append((dk, th, p))
-        rows = list(found.items())
-        place = pa.list_(pa.struct([("dk", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[0][0] for x in rows], pa.int64()), pa.array([x[0][1] for x in rows], pa.binary()), pa.array([x[0][2] for x in rows], pa.binary()), pa.array([[{"dk": a, "th": b, "pos": c} for a, b, c in x[1]] for x in rows], place)],
-            names=["h", "l", "r", "places"],
-        )
-
-
-def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by h: (dk, th, s, e), byte runs to remove. Groups of one h are held whole, many at a time."""
+                    own = found.setdefault((v, data[max(0, p - k) : p][::-1], data[p : p + length]), [0, []])
+                    own[0] += 1
+                    if own[1] and own[1][-1][:2] == (dk, th) and own[1][-1][2] <= p <= own[1][-1][3] + length:
+                        own[1][-1] = (*own[1][-1][:3], p)
+                    else:
+                        own[1].append((dk, th, p, p))
+        place = pa.list_(pa.struct([("dk", pa.int64()), ("th", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+        rows = [(h, int.from_bytes(hashlib.blake2b(left + b"/" + right, digest_size=8).digest(), "big", signed=True), left, right, n, [dict(zip(("dk", "th", "first", "last"), x, strict=True)) for x in at]) for (h, left, right), (n, at) in found.items()]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), place)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names=["h", "c", "l", "r", "n", "places"])
+
+
+def _offsets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """From contexts (h, c, l, r, n) sorted by h: (h, c, low, high), the runs of offsets whose strings occur again.
+
+    Groups of one h are held whole, many at a time; the places of a context stay outside.
+    """
     held: dict[tuple[int, bytes, bytes], list] = {}
 
-    def flush(keys: list) -> pa.RecordBatch:
-        times = np.array([len(held[x]) for x in keys], np.int64)
+    def flush() -> pa.RecordBatch:
+        keys, times = list(held), np.array([x[1] for x in held.values()], np.int64)
         group = Counter(x[0] for x in keys)
         # An anchor with one context needs no sorting: all its strings occur as often as it does.
         alone = np.array([group[x[0]] == 1 for x in keys])
@@ -215,36 +225,29 @@ def _spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         flags = np.array([(offsets <= len(x[1])) & (offsets >= length - len(x[2])) for x in keys]) & (times > 1)[:, None]
         some = np.flatnonzero(~alone).tolist()
         flags[some] = repeated_offsets([keys[i][1] for i in some], [keys[i][2] for i in some], times[some], length)
-        out: list[tuple[int, int, int, int]] = []
-        for i in np.flatnonzero(flags.any(1)).tolist():
-            for a, b in runs(flags[i]):
-                out += [(x["dk"], x["th"], x["pos"] - b, x["pos"] - a + length) for x in held[keys[i]]]
-        for x in keys:
-            del held[x]
-        dk, th, s, e = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(dk, pa.int64()), pa.array(th, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["dk", "th", "s", "e"])
+        out = [(keys[i][0], held[keys[i]][0], a, b) for i in np.flatnonzero(flags.any(1)).tolist() for a, b in runs(flags[i])]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["h", "c", "low", "high"])
 
     last = None
     for batch in batches:
-        for h, left, right, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for h, c, left, right, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if h != last and len(held) >= BATCH:
-                yield flush(list(held))
+                yield flush()
             last = h
-            held.setdefault((h, left, right), []).extend(places)
+            held.setdefault((h, left, right), [c, 0])[1] += n
     if held:
-        yield flush(list(held))
+        yield flush()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of hot anchors to (w0, w1, places, s): a 128-bit hash of each string around the anchor, and its places."""
-    kind = pa.list_(pa.struct([("dk", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())]))
+    """Contexts of hot anchors to (h, c, n, w, o): a 128-bit hash of each string around the anchor."""
     for batch in batches:
-        for h, left, right, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for h, c, left, right, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             whole, p = left[::-1] + right, len(left)
             offs = [o for o in range(min(length // 2, p) + 1) if p - o + length <= len(whole)]
-            if offs:
-                keys = [hashlib.blake2b(whole[p - o : p - o + length], digest_size=16).digest() for o in offs]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(offs, pa.int32()), pa.array([places] * len(offs), kind)], names=["w", "o", "places"])
+            keys = [hashlib.blake2b(whole[p - o : p - o + length], digest_size=16).digest() for o in offs]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(offs), pa.int64()) for x in (h, c, n)), pa.array(keys, pa.binary()), pa.array(offs, pa.int64())], names=["h", "c", "n", "w", "o"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -271,19 +274,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     again = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "suffix-repeated")
     asked = found.join(again.select("h"), "h", "left_semi").groupBy("dk", "th").agg(F.collect_set("h").alias("hs"))
     texts = long.select("dk", "th", "text").join(asked, ["dk", "th"])
-    place = "places array<struct<dk:long,th:long,pos:int>>"
-    near = materialize(texts.mapInArrow(lambda b: _contexts(b, length), f"h long, l binary, r binary, {place}"), "suffix-contexts")
-    hot = again.where(F.col("n") > GROUP).select("h")
+    place = "places array<struct<dk:long,th:long,first:long,last:long>>"
+    near = materialize(texts.mapInArrow(lambda b: _contexts(b, length), f"h long, c long, l binary, r binary, n long, {place}"), "suffix-contexts")
+    contexts = near.select("h", "c", "l", "r", "n")
+    hot = near.groupBy("h").count().where(F.col("count") > GROUP).select("h")
+    offsets = "h long, c long, low long, high long"
     if hot.isEmpty():
-        spans = near.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _spans(b, length), "dk long, th long, s long, e long")
+        again = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _offsets(b, length), offsets)
     else:
-        cool = near.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _spans(b, length), "dk long, th long, s long, e long")
-        seen = near.join(hot, "h", "left_semi").mapInArrow(lambda b: _windows(b, length), f"w binary, o int, {place}")
-        seen = materialize(seen, "suffix-hot")
-        many = seen.groupBy("w").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("w")
-        place_of = seen.join(many, "w", "left_semi").select("o", F.explode("places").alias("p"))
-        start = (F.col("p.pos") - F.col("o")).cast("long")
-        spans = cool.union(place_of.select(F.col("p.dk").alias("dk"), F.col("p.th").alias("th"), start.alias("s"), (start + length).alias("e")))
+        hot = materialize(hot, "suffix-hot")
+        again = contexts.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _offsets(b, length), offsets)
+        seen = materialize(contexts.join(hot, "h", "left_semi").mapInArrow(lambda b: _windows(b, length), "h long, c long, n long, w binary, o long"), "suffix-windows")
+        many = seen.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
+        again = again.union(seen.join(many, "w", "left_semi").select("h", "c", "o", F.col("o")).distinct())
+    places = near.select("h", "c", F.explode("places").alias("p")).select("h", "c", "p.*")
+    spans = places.join(again, ["h", "c"]).select("dk", "th", (F.col("first") - F.col("high")).alias("s"), (F.col("last") - F.col("low") + length).alias("e"))
     return spans.distinct().groupBy("dk", "th").agg(F.collect_list(F.struct("s", "e")).alias("runs")), keyed
 
 

@@ -243,6 +243,22 @@ def tag(docs: DataFrame, tagger: Tagger) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, spans array<struct<start:int,end:int,p:double>>")
 
 
+def keep(docs: DataFrame, tagger: Tagger, cut: float) -> DataFrame:
+    """The rows of docs that score below `cut`, scored where they are read."""
+    chain, coef = tagger.chain, tagger.coef
+    held: list[Tagger] = []
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            held.append(Tagger(chain, coef))
+        for batch in pieces(batches):
+            _, sizes, p = held[0].tag(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(held[0].scores(sizes, p) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """tag() with held_out, by a tagger trained on the labels."""
     out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
