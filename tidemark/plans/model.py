@@ -77,13 +77,6 @@ class Columns:
             x = F.create_map(*known)[x] if known else F.lit(None).cast("double")
         return (F.coalesce(x.cast("double"), F.lit(self.middle[c])) - self.middle[c]) / self.scale[c]
 
-    def stored(self, c: str) -> Column:
-        """The value that a leaf counts: itself, or the middle of its bin."""
-        if c in self.step:
-            s = self.step[c]
-            return ((F.floor(F.col(c) / s) + 0.5) * s).cast("string")
-        return F.col(c).cast("string")
-
 
 def rdc(x: np.ndarray, y: np.ndarray, k: int = 10, s: float = 1 / 6, seed: int = 17) -> float:
     """Randomised dependence coefficient: largest canonical correlation of random sine features of the ranks."""
@@ -250,12 +243,48 @@ def flattened(df: DataFrame) -> DataFrame:
 
 
 def leaf_counts(df: DataFrame, model: Model) -> DataFrame:
-    """(leaf, value, n): how often each leaf meets each value (as text; null is null). Mergeable: counts of disjoint rows add up."""
-    reach = route(model.root, model.columns)
-    leaves = [n for n in model.root.nodes() if n.kind == "leaf"]
-    met = [F.when(reach[n.id], F.struct(F.lit(n.id).alias("leaf"), model.columns.stored(n.scope[0]).alias("value"))) for n in leaves]
-    rows = df.select(F.explode(F.filter(F.array(*met), lambda x: x.isNotNull())).alias("x"))
-    return rows.groupBy(F.col("x.leaf").alias("leaf"), F.col("x.value").alias("value")).agg(F.count("*").cast("double").alias("n"))
+    """(leaf, value, n): how often each leaf meets each value (as text; null is null). Mergeable: counts of disjoint rows add up.
+
+    Rows are routed batch by batch in numpy: as Columns, trees of hundreds of nodes outgrow generated code.
+    """
+    columns, root = model.columns, model.root
+    names = list(root.scope)
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            if not len(frame):
+                continue
+            own = Columns(names, columns.codes, columns.middle, columns.scale, columns.step)
+            m = own.matrix(frame)
+            out: list[tuple[int, str | None, float]] = []
+
+            def walk(n: Node, rows: np.ndarray) -> None:
+                if not len(rows):
+                    return
+                if n.kind == "leaf":
+                    c = n.scope[0]
+                    col = frame[c].iloc[rows]
+                    if c in columns.step:
+                        col = (np.floor(col / columns.step[c]) + 0.5) * columns.step[c]
+                    hist = col.value_counts(dropna=False)
+                    out.extend((n.id, None if pd.isna(v) else str(v if c in columns.codes or isinstance(v, str) else float(v)), float(k)) for v, k in hist.items())
+                elif n.kind == "product":
+                    for c in n.children:
+                        walk(c, rows)
+                else:
+                    at = [names.index(c) for c in n.scope]
+                    far = np.stack([((m[np.ix_(rows, at)] - np.array(centre)) ** 2).sum(1) for centre in n.centres])
+                    which = far.argmin(0)
+                    for k, c in enumerate(n.children):
+                        walk(c, rows[which == k])
+
+            walk(root, np.arange(len(frame)))
+            yield pd.DataFrame(out, columns=["leaf", "value", "n"])
+
+    parts = df.select(*names).mapInPandas(run, "leaf int, value string, n double")
+    return parts.groupBy("leaf", "value").agg(F.sum("n").alias("n"))
 
 
 def absorb(model: Model, counts: list[tuple[int, str | None, float]], reset: bool = False) -> Model:
