@@ -285,8 +285,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         hot = materialize(hot, "suffix-hot")
         again = contexts.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _offsets(b, length), offsets)
         seen = materialize(contexts.join(hot, "h", "left_semi").mapInArrow(lambda b: _windows(b, length), "h long, c long, n long, w binary, o long"), "suffix-windows")
-        many = seen.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-        again = again.union(seen.join(many, "w", "left_semi").select("h", "c", "o", F.col("o")).distinct())
+        # One string shows around each of its anchors: it counts by anchor and offset, once a place.
+        many = seen.groupBy("h", "o", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "o", "w")
+        again = again.union(seen.join(many, ["h", "o", "w"], "left_semi").select("h", "c", "o", F.col("o")).distinct())
     places = near.select("h", "c", F.explode("places").alias("p")).select("h", "c", "p.*")
     spans = places.join(again, ["h", "c"]).select("dk", "th", (F.col("first") - F.col("high")).alias("s"), (F.col("last") - F.col("low") + length).alias("e"))
     return spans.distinct().groupBy("dk", "th").agg(F.collect_list(F.struct("s", "e")).alias("runs")), keyed
