@@ -16,7 +16,7 @@ from .common import fold, pieces
 from .rule_ensemble import train_rows
 
 #: Labelled documents that a fit takes at most, those of the least hashes.
-MAX_TRAIN = 10_000
+MAX_TRAIN = 6_000
 #: A chain starts anew after so many tokens.
 CHAIN = 128
 #: Tokens that a worker remembers at most.
@@ -74,36 +74,34 @@ class Chain:
         return self.bias + sum(get(f, 0.0) for f in features(token))
 
 
-def suspects(found: list[set[str]], toxic: np.ndarray, least: int = 3, ratio: float = 20.0) -> set[str]:
+def suspects(tokens: list[list[str]], toxic: np.ndarray, least: int = 3, ratio: float = 20.0) -> set[str]:
     """Features that toxic documents hold at least `ratio` times as often as others, in `least` documents or more."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     one, none = Counter(), Counter()
-    for own, t in zip(found, toxic, strict=True):
-        (one if t else none).update(own)
-    return {f for f, c in one.items() if c >= least and c / n1 >= ratio * (none[f] + 0.5) / n0}
+    for doc, t in zip(tokens, toxic, strict=True):
+        if t:
+            one.update({f for w in set(doc) for f in features(w)})
+    one = Counter({f: c for f, c in one.items() if c >= least})
+    for doc, t in zip(tokens, toxic, strict=True):
+        if not t:  # only what toxic documents hold is counted in the others
+            none.update({f for w in set(doc) for f in features(w) if f in one})
+    return {f for f, c in one.items() if c / n1 >= ratio * (none[f] + 0.5) / n0}
 
 
 def fit_chain(tokens: list[list[str]], toxic: np.ndarray, rounds: int = 60) -> Chain:
     """A chain from documents: in toxic ones, tokens with a suspect feature are labelled 1; all others 0."""
-    cache: dict[str, tuple[str, ...]] = {}
-    for doc in tokens:
-        for t in doc:
-            if t not in cache:
-                cache[t] = features(t)
-    found = [{f for t in set(doc) for f in cache[t]} for doc in tokens]
-    bad = suspects(found, toxic)
-    names = sorted(bad)
+    names = sorted(suspects(tokens, toxic))
     index = {f: i for i, f in enumerate(names)}
-    of = {t: [index[f] for f in fs if f in index] for t, fs in cache.items()}
+    of = {t: found for t in {t for doc in tokens for t in doc} if (found := [index[f] for f in features(t) if f in index])}
     sizes = np.array([len(d) for d in tokens], np.int64)
     place, rows = chains(sizes)
     chain = Chain()
     if not rows or not names:
         return chain
-    flat = [t for d in tokens for t in d]
-    hits = [i for i, t in enumerate(flat) if of[t]]
-    at = np.array([i for i in hits for _ in of[flat[i]]], np.int64)
-    feat = np.array([f for i in hits for f in of[flat[i]]], np.int64)
+    met = [(i, of[t]) for i, t in enumerate(t for d in tokens for t in d) if t in of]
+    hits = [i for i, _ in met]
+    at = np.array([i for i, found in met for _ in found], np.int64)
+    feat = np.array([f for _, found in met for f in found], np.int64)
     real = np.zeros(rows * CHAIN, bool)
     real[place] = True
     truth = np.zeros(rows * CHAIN, bool)
@@ -191,7 +189,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 def fit(texts: list[str | None], toxic: np.ndarray) -> Tagger:
     """The chain learns from two thirds of the documents, the documents' score from the rest, which it hasn't seen."""
-    tokens = [TOKEN.findall(t or "") for t in texts]
+    one: dict[str, str] = {}  # equal tokens share one string
+    tokens = [[one.setdefault(w, w) for w in TOKEN.findall(t or "")] for t in texts]
     rest = np.arange(len(texts)) % 3 == 2
     pick = lambda mask: [d for d, k in zip(tokens, mask, strict=True) if k]
     tagger = Tagger(fit_chain(pick(~rest), toxic[~rest]))
