@@ -18,7 +18,7 @@ from tidemark.llm.queries import CUT, WORDS, ship
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rule ensemble takes for good ones."""
     ship(spark)
-    _, model = rule_ensemble.classify(docs, table(spark, sf_dir, "labels"))
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
     return rule_ensemble.keep(docs, model, CUT)
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold, materialize
+from .common import SPACES, fold
 from .line_rules import SYMBOLS, let, n_of, without, words
 
 #: Labelled rows that a fit takes at most, those of the least hashes.
@@ -157,23 +157,30 @@ def train_rows(scored: DataFrame, labels: DataFrame, label: str, folds: int, hel
     return scored.join(F.broadcast(some), "doc_id")
 
 
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most: int = MAX_TRAIN) -> RuleEnsemble:
+    """A rule ensemble from the statistics of at most `most` labelled rows outside the held-out fold."""
+    rows = statistics(train_rows(docs.select("doc_id", "text"), labels, "quality", folds, held, most), "_label")
+    names = [c for c in rows.columns if c.startswith("f_")]
+    seen = rows.select(*names, "_label").toPandas().sort_values([*names, "_label"])  # the same model whatever the order of rows
+    return fit(seen[names].to_numpy(float).reshape(-1, len(names)), seen["_label"].to_numpy(float), names)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most: int = MAX_TRAIN) -> tuple[DataFrame, RuleEnsemble]:
     """(doc_id, held_out, score) for every row of docs, and the model.
 
-    Learns from at most `most` labelled rows outside the held-out fold. Null and empty texts get the score of their
-    (zero) statistics; repeated rows stay; a null doc_id can't be labelled and is never held out.
+    Null and empty texts get the score of their (zero) statistics; repeated rows stay; a null doc_id can't be labelled
+    and is never held out.
     """
-    stats = materialize(statistics(docs), "quality-statistics")
-    names = [c for c in stats.columns if c.startswith("f_")]
-    seen = train_rows(stats, labels, "quality", folds, held, most).select(*names, "_label").toPandas()
-    seen = seen.sort_values([*names, "_label"])  # the same model whatever the order of rows
-    model = fit(seen[names].to_numpy(float).reshape(-1, len(names)), seen["_label"].to_numpy(float), names)
+    model = train(docs, labels, folds, held, most)
     out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
-    return stats.select("doc_id", out.alias("held_out"), model.column().alias("score")), model
+    return statistics(docs).select("doc_id", out.alias("held_out"), model.column().alias("score")), model
 
 
 def keep(docs: DataFrame, model: RuleEnsemble, cut: float) -> DataFrame:
-    """The rows of docs that score `cut` or more, scored where they are read."""
+    """The rows of docs that score `cut` or more, scored where they are read.
+
+    An explode, not a filter: Catalyst would push a filter below the statistics and compute them at every mention.
+    """
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
     scored = statistics(docs.select("doc_id", "text", row), "_row")
-    return scored.where(model.column() >= cut).select("_row.*")
+    return scored.select(F.explode(F.when(model.column() >= cut, F.array("_row")).otherwise(F.array().cast(f"array<{scored.schema['_row'].dataType.simpleString()}>"))).alias("_row")).select("_row.*")
