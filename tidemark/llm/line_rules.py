@@ -27,7 +27,7 @@ def n_of(text: Column, chars: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def let(value: Column, body) -> Column:
