@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate.
@@ -19,11 +21,19 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 
 
 def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+    """text without chars: a byte scan for each, as translate() makes a string of every character."""
+    return functools.reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
 
 
 def n_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(without(text, chars))
+    """How often chars, all of the same number of bytes, are in text."""
+    (width,) = {len(c.encode()) for c in chars}
+    gone = F.octet_length(text) - F.octet_length(without(text, chars))
+    return gone if width == 1 else F.floor(gone / width).cast("int")
+
+
+def blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def words(text: Column) -> Column:
@@ -52,15 +62,12 @@ def _covered(hashes: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails one of the punctuation, navigation and boilerplate rules."""
-    size = F.length(without(line, SPACES))
-    marks = n_of(line, "!") * MARK_WORDS > size_words(line)
-    symbols = n_of(line, SYMBOLS) * SYMBOL_SHARE > size
-    navigation = n_of(line, "|»•") >= NAVIGATION
-    low = ascii_lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | low.contains(p)
-    return symbols | marks | navigation | phrase
+    marks = line.contains("!") & (n_of(line, "!") * MARK_WORDS > size_words(line))
+    symbols = line.rlike(f"[{SYMBOLS}]") & (n_of(line, SYMBOLS) * SYMBOL_SHARE > F.length(without(line, SPACES)))
+    navigation = n_of(line, "|") + n_of(line, "»") + n_of(line, "•") >= NAVIGATION
+    # lower() finds candidates fast, but also folds other letters to ASCII ones; the pattern folds A-Z only.
+    low = let(F.lower(line), lambda x: functools.reduce(lambda a, p: a | x.contains(p), BOILERPLATE, F.lit(False)))
+    return symbols | marks | navigation | (low & line.rlike("(?i)" + "|".join(BOILERPLATE)))
 
 
 def size_words(line: Column) -> Column:
@@ -75,21 +82,21 @@ def measure(docs: DataFrame) -> DataFrame:
     of their words. clean_text: the lines that passed, joined by line ends.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cut = base.select("doc_id", "text", words(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.length(without(x, SPACES)) > 0).alias("lines"))
+    cut = base.select("doc_id", "text", words(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: ~blank(x)).alias("lines"))
     w = F.col("w")
     windows = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(let(w, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 3), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + 1), F.get(a, i + 2)))))
     seen = cut.select("*", windows.alias("h"), F.filter("lines", lambda x: ~line_fails(x)).alias("good"))
     return seen.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.length(without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         n_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         # Most texts repeat no window; those skip the sort.
         F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0)).otherwise(_covered(F.col("h"))).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("good")).cast("long").alias("failed_lines"),
-        F.length(without(F.array_join("good", "\n"), SPACES)).cast("long").alias("kept_chars"),
+        F.when(F.size("lines") == F.size("good"), F.length(F.array_join("w", ""))).otherwise(F.length(without(F.array_join("good", "\n"), SPACES))).cast("long").alias("kept_chars"),
         F.array_join("good", "\n").alias("clean_text"),
     )
 
