@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, UPPER, components, materialize, pieces
-from .line_rules import n_of, without
+from .line_rules import blank, n_of
 
 #: Paragraphs are lines of this many blanks-separated words or more.
 MIN_WORDS = 20
@@ -60,7 +60,7 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _lines(docs: DataFrame) -> DataFrame:
     """(dk, th, idx, line): the paragraphs of every document."""
     found = docs.select("dk", "th", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
-    return found.where((n_of(F.col("line"), SPACES) >= MIN_WORDS - 1) & (F.length(without(F.col("line"), SPACES)) > 0))
+    return found.where((n_of(F.col("line"), SPACES) >= MIN_WORDS - 1) & ~blank(F.col("line")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

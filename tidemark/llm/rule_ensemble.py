@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold
-from .line_rules import SYMBOLS, let, n_of, without, words
+from .common import fold
+from .line_rules import SYMBOLS, blank, let, n_of, words
 
 #: Labelled rows that a fit takes at most, those of the least hashes.
 MAX_TRAIN = 20_000
@@ -19,7 +19,7 @@ def statistics(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, carried columns and text statistics (f_...) for every row of docs; a null text is an empty one."""
     text = F.col("text")
     base = docs.select("doc_id", *carried, F.coalesce("text", F.lit("")).alias("text"))
-    cut = base.select("doc_id", *carried, "text", words(text).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.length(without(x, SPACES)) > 0).alias("lines"))
+    cut = base.select("doc_id", *carried, "text", words(text).alias("w"), F.filter(F.split("text", "\n"), lambda x: ~blank(x)).alias("lines"))
     chars, n, n_lines = F.length("text"), F.size("w"), F.size("lines")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     upper = F.length(F.regexp_replace("text", r"[^\p{Lu}]", ""))
@@ -28,7 +28,7 @@ def statistics(docs: DataFrame, *carried: str) -> DataFrame:
         "doc_id",
         *carried,
         F.log1p(n.cast("double")).alias("f_words"),
-        share(F.length(without(text, SPACES)), n).alias("f_word_length"),
+        share(F.length(F.array_join("w", "")), n).alias("f_word_length"),
         share(F.size(F.array_distinct("w")), n).alias("f_distinct_words"),
         share(pairs, n).alias("f_distinct_pairs"),
         share(F.size(F.array_distinct("lines")), n_lines).alias("f_distinct_lines"),
