@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pieces
 
-#: Chunks between spaces that a worker remembers at most.
-MEMORY = 400_000
+#: Chunks between spaces, and words, that a worker remembers about at most.
+MEMORY = 800_000
+#: Signs that no piece of the tokenizer shares with a letter before them: no apostrophe (contractions), nothing that composes.
+SIGNS = ".,;:!?%&|$#*)]}\""
 #: Pieces of one length are numbered in so many parts.
 PARTS = 512
 
@@ -97,29 +100,79 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return moves
 
 
+class Memory:
+    """Ids by string, for at most about MEMORY strings: of two generations, the older goes when the younger holds half."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, asked: set[str]) -> set[str]:
+        """Those of asked that aren't known; the others are young from here on."""
+        if len(self.young) + len(asked) > MEMORY // 2:
+            self.young, self.old = {}, self.young
+        left = asked - self.young.keys()
+        for c in left & self.old.keys():
+            self.young[c] = self.old[c]
+        return left - self.old.keys()
+
+
+def plain(word: str) -> bool:
+    """Latin letters alone: a single piece of the tokenizer, whose last id alone ends a word."""
+    return word.isalpha() and max(word) < "\u0250"
+
+
 class Tokens:
-    """Ids of texts. Chunks between spaces and line ends are encoded by themselves: the tokenizer drops white space and none of its pieces spans it."""
+    """Ids of texts. Chunks between spaces and line ends are encoded by themselves: the tokenizer drops white space and none of its pieces spans it.
+
+    A chunk of Latin letters with signs behind is encoded as the lower-case word and the signs: the tokenizer folds
+    case and splits there as well.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory: dict[str, bytes] = {"": b""}
+        self.chunks, self.words = Memory(), Memory()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, str]:
+        """The word and the signs of a chunk that splits so, else the chunk and nothing."""
+        word = chunk.rstrip(SIGNS)
+        low = word.lower()
+        return (low, chunk[len(word) :]) if plain(low) and max(word) < "\u0250" else (chunk, "")
+
+    def _together(self, words: list[str]) -> None:
+        """Encodes plain words in one text and cuts its ids where words end."""
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            coded, start = ids.tobytes(), 0
+            for c, stop in zip(part, stops.tolist(), strict=True):
+                self.words.young[c] = coded[start:stop]
+                start = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        asked = {c for parts in split for c in parts}
-        missing = [c for c in asked if c not in self.memory]
-        if len(missing) + len(self.memory) > MEMORY:
-            self.memory = {"": b""}
-            missing = list(asked - {""})
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memory[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.memory.__getitem__
+        found = {c: self.parts(c) for c in self.chunks.missing({c for parts in split for c in parts})}
+        missing = self.words.missing({x for both in found.values() for x in both})
+        easy = [x for x in missing if plain(x) and x.islower()]
+        self._together(easy)
+        rest = list(missing.difference(easy))
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.words.young[c] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        words, chunks = self.words.young, self.chunks.young
+        for c, (word, signs) in found.items():
+            chunks[c] = words[word] + words[signs]
+        get = chunks.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
 
@@ -135,7 +188,6 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0,
     """
     import os
 
-
     tail = int(end).to_bytes(4, "little")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
