@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces
 
 #: Chunks between spaces, and words, that a worker remembers about at most.
-MEMORY = 800_000
+MEMORY = 1_000_000
 #: Signs that no piece of the tokenizer shares with a letter before them: no apostrophe (contractions), nothing that composes.
 SIGNS = ".,;:!?%&|$#*)]}\""
 #: Pieces of one length are numbered in so many parts.
@@ -100,26 +100,18 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return moves
 
 
-class Memory:
-    """Ids by string, for at most about MEMORY strings: of two generations, the older goes when the younger holds half."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+class Memory(dict):
+    """Ids by string; starts anew once it holds MEMORY strings."""
 
     def missing(self, asked: set[str]) -> set[str]:
-        """Those of asked that aren't known; the others are young from here on."""
-        if len(self.young) + len(asked) > MEMORY // 2:
-            self.young, self.old = {}, self.young
-        left = asked - self.young.keys()
-        for c in left & self.old.keys():
-            self.young[c] = self.old[c]
-        return left - self.old.keys()
+        if len(self) > MEMORY:
+            self.clear()
+        return asked - self.keys()
 
 
 def plain(word: str) -> bool:
     """Latin letters alone: a single piece of the tokenizer, whose last id alone ends a word."""
-    return word.isalpha() and max(word) < "\u0250"
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 class Tokens:
@@ -144,7 +136,7 @@ class Tokens:
         """The word and the signs of a chunk that splits so, else the chunk and nothing."""
         word = chunk.rstrip(SIGNS)
         low = word.lower()
-        return (low, chunk[len(word) :]) if plain(low) and max(word) < "\u0250" else (chunk, "")
+        return (low, chunk[len(word) :]) if low.isalpha() and (word.isascii() or max(word) < "\u0250") else (chunk, "")
 
     def _together(self, words: list[str]) -> None:
         """Encodes plain words in one text and cuts its ids where words end."""
@@ -154,7 +146,7 @@ class Tokens:
             stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             coded, start = ids.tobytes(), 0
             for c, stop in zip(part, stops.tolist(), strict=True):
-                self.words.young[c] = coded[start:stop]
+                self.words[c] = coded[start:stop]
                 start = stop
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -168,8 +160,8 @@ class Tokens:
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words.young[c] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
-        words, chunks = self.words.young, self.chunks.young
+                self.words[c] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        words, chunks = self.words, self.chunks
         for c, (word, signs) in found.items():
             chunks[c] = words[word] + words[signs]
         get = chunks.__getitem__
