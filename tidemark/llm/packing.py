@@ -106,7 +106,7 @@ class Memory(dict):
     def missing(self, asked: set[str]) -> set[str]:
         if len(self) > MEMORY:
             self.clear()
-        return asked - self.keys()
+        return {c for c in asked if c not in self}  # set differences would walk through all keys
 
 
 def plain(word: str) -> bool:
@@ -152,7 +152,7 @@ class Tokens:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        found = {c: self.parts(c) for c in self.chunks.missing({c for parts in split for c in parts})}
+        found = {c: self.parts(c) for c in self.chunks.missing(set().union(*split))}
         missing = self.words.missing({x for both in found.values() for x in both})
         easy = [x for x in missing if plain(x) and x.islower()]
         self._together(easy)
