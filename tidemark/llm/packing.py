@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces
 
 #: Chunks between spaces, and words, that a worker remembers about at most.
-MEMORY = 500_000
+MEMORY = 1_000_000
 #: Signs that no piece of the tokenizer shares with a letter before them: no apostrophe (contractions), nothing that composes.
 SIGNS = ".,;:!?%&|$#*)]}\""
 #: Pieces of one length are numbered in so many parts.
