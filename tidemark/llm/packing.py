@@ -16,6 +16,8 @@ from .common import materialize, pieces
 
 #: Chunks between spaces, and words, that a worker remembers about at most.
 MEMORY = 1_000_000
+#: Bytes of text that are split into chunks at a time.
+SPLIT_BYTES = 2 << 20
 #: Signs that no piece of the tokenizer shares with a letter before them: no apostrophe (contractions), nothing that composes.
 SIGNS = ".,;:!?%&|$#*)]}\""
 #: Pieces of one length are numbered in so many parts.
@@ -187,7 +189,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own, step = tokens(path), 4 * capacity
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=SPLIT_BYTES):
             row, piece, length, crc, ids = [], [], [], [], []
             for i, x in enumerate(own.encode(batch.column(1).to_pylist())):
                 x += tail

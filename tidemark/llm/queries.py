@@ -20,11 +20,14 @@ WORDS = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Scores from here on count as label 1.
 CUT = 0.7
+#: Rows that Spark hands to a Python worker at a time: what both sides hold follows it.
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application: they need not have it installed."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(context, "_tidemark_shipped", None) != context.applicationId:
         top = Path(__file__).resolve().parents[1]
         folder = tempfile.mkdtemp()  # Spark serves the file as long as the application runs
