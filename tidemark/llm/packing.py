@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +107,12 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 class Memory(dict):
     """Ids by string; starts anew once it holds MEMORY strings."""
 
-    def missing(self, asked: set[str]) -> set[str]:
+    def trim(self) -> None:
         if len(self) > MEMORY:
             self.clear()
+
+    def missing(self, asked: set[str]) -> set[str]:
+        self.trim()
         return {c for c in asked if c not in self}  # set differences would walk through all keys
 
 
@@ -151,23 +156,28 @@ class Tokens:
                 self.words[c] = coded[start:stop]
                 start = stop
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        found = {c: self.parts(c) for c in self.chunks.missing(set().union(*split))}
-        missing = self.words.missing({x for both in found.values() for x in both})
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        asked, words, chunks = coded.dictionary.to_pylist(), self.words, self.chunks
+        found = list(map(chunks.get, asked))
+        new = [i for i, x in enumerate(found) if x is None]
+        parts = [self.parts(asked[i]) for i in new]
+        missing = words.missing({x for both in parts for x in both})
         easy = [x for x in missing if plain(x) and x.islower()]
         self._together(easy)
         rest = list(missing.difference(easy))
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[c] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
-        words, chunks = self.words, self.chunks
-        for c, (word, signs) in found.items():
-            chunks[c] = words[word] + words[signs]
-        get = chunks.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+                words[c] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
+        chunks.trim()
+        for i, (word, signs) in zip(new, parts, strict=True):
+            found[i] = chunks[asked[i]] = words[word] + words[signs]
+        at, get = coded.indices.to_numpy().tolist(), found.__getitem__
+        sizes = pc.list_value_length(split).to_pylist()
+        return [b"".join(map(get, at[stop - n : stop])) for n, stop in zip(sizes, itertools.accumulate(sizes), strict=True)]
 
 
 @functools.lru_cache(2)
@@ -191,7 +201,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0,
         own, step = tokens(path), 4 * capacity
         for batch in pieces(batches, limit=SPLIT_BYTES):
             row, piece, length, crc, ids = [], [], [], [], []
-            for i, x in enumerate(own.encode(batch.column(1).to_pylist())):
+            for i, x in enumerate(own.encode(batch.column(1))):
                 x += tail
                 for k in range(0, len(x), step):
                     part = x[k : k + step]
