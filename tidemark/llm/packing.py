@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pieces
 
-#: Chunks between spaces, and words, that a worker remembers about at most.
-MEMORY = 1_000_000
+#: Words that a worker remembers about at most.
+MEMORY = 500_000
 #: Bytes of text that are split into chunks at a time.
 SPLIT_BYTES = 2 << 20
 #: Signs that no piece of the tokenizer shares with a letter before them: no apostrophe (contractions), nothing that composes.
 SIGNS = ".,;:!?%&|$#*)]}\""
+#: Words of Latin letters; a dotted capital I has no lower-case letter of its own.
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 #: Pieces of one length are numbered in so many parts.
 PARTS = 512
 
@@ -111,14 +113,10 @@ class Memory(dict):
         if len(self) > MEMORY:
             self.clear()
 
-    def missing(self, asked: set[str]) -> set[str]:
-        self.trim()
-        return {c for c in asked if c not in self}  # set differences would walk through all keys
-
 
 def plain(word: str) -> bool:
-    """Latin letters alone: a single piece of the tokenizer, whose last id alone ends a word."""
-    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+    """Small Latin letters alone: a single piece of the tokenizer, whose last id alone ends a word."""
+    return word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250")
 
 
 class Tokens:
@@ -133,18 +131,11 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.words = Memory(), Memory()
+        self.words = Memory()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, str]:
-        """The word and the signs of a chunk that splits so, else the chunk and nothing."""
-        word = chunk.rstrip(SIGNS)
-        low = word.lower()
-        return (low, chunk[len(word) :]) if low.isalpha() and (word.isascii() or max(word) < "\u0250") else (chunk, "")
-
     def _together(self, words: list[str]) -> None:
         """Encodes plain words in one text and cuts its ids where words end."""
         for k in range(0, len(words), 20_000):
@@ -156,26 +147,37 @@ class Tokens:
                 self.words[c] = coded[start:stop]
                 start = stop
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
-        coded = split.flatten().dictionary_encode()
-        asked, words, chunks = coded.dictionary.to_pylist(), self.words, self.chunks
-        found = list(map(chunks.get, asked))
-        new = [i for i, x in enumerate(found) if x is None]
-        parts = [self.parts(asked[i]) for i in new]
-        missing = words.missing({x for both in parts for x in both})
-        easy = [x for x in missing if plain(x) and x.islower()]
-        self._together(easy)
-        rest = list(missing.difference(easy))
+    def _look_up(self, asked: list[str]) -> list[bytes]:
+        """The ids of each string, from memory or the tokenizer."""
+        words = self.words
+        words.trim()
+        found = list(map(words.get, asked))
+        missing = [x for x, ids in zip(asked, found, strict=True) if ids is None]
+        self._together([x for x in missing if plain(x)])
+        rest = [x for x in missing if not plain(x)]
         for k in range(0, len(rest), 20_000):
             part = rest[k : k + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 words[c] = struct.pack(f"<{len(ids)}I", *ids) if (ids := e.ids) else b""
-        chunks.trim()
-        for i, (word, signs) in zip(new, parts, strict=True):
-            found[i] = chunks[asked[i]] = words[word] + words[signs]
-        at, get = coded.indices.to_numpy().tolist(), found.__getitem__
+        return [words[x] if ids is None else ids for x, ids in zip(asked, found, strict=True)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        word = pc.utf8_rtrim(chunks, SIGNS)
+        latin = pc.match_substring_regex(word, LATIN)
+        keys = pc.if_else(latin, pc.utf8_lower(word), chunks).dictionary_encode()
+        ids = self._look_up(keys.dictionary.to_pylist())
+        ids = list(map(ids.__getitem__, keys.indices.to_numpy().tolist()))
+        signed = pc.indices_nonzero(pc.and_(latin, pc.not_equal(pc.binary_length(word), pc.binary_length(chunks))))
+        signs = [c[len(w) :] for c, w in zip(chunks.take(signed).to_pylist(), word.take(signed).to_pylist(), strict=True)]
+        distinct = list(set(signs))
+        behind = dict(zip(distinct, self._look_up(distinct), strict=True))
+        for i, x in zip(signed.to_pylist(), signs, strict=True):
+            ids[i] += behind[x]
+        at, get = coded.indices.to_numpy().tolist(), ids.__getitem__
         sizes = pc.list_value_length(split).to_pylist()
         return [b"".join(map(get, at[stop - n : stop])) for n, stop in zip(sizes, itertools.accumulate(sizes), strict=True)]
 
