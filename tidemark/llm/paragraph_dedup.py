@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +18,10 @@ MIN_WORDS = 20
 SHINGLE, JACCARD = 5, 0.8
 #: 12 bands of 4 rows: paragraphs of similarity 0.8 meet with probability 0.998, of 0.9 with 0.99999.
 BANDS, ROWS = 12, 4
-#: Members of a bucket link to its least and to this many before them.
-NEIGHBOURS = 2
-#: Buckets of more members are split.
+#: The least of a bucket of more members is found by partial minima.
 BUCKET = 50_000
+#: Members on one side of a block in which all pairs are compared, and shared shingles looked at at once there.
+BLOCK, SHARED = 2_000, 1 << 21
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\n\x0b\x0c\r", LOWER.encode() + b"     ")
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(1, 2**63, BANDS * ROWS).astype(np.uint64) | np.uint64(1)
@@ -89,54 +89,144 @@ def _buckets(lines: DataFrame) -> DataFrame:
     return lines.select("lh", "line").mapInArrow(run, "bk long, lh long, many int")
 
 
-def _candidates(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of paragraph hashes to verify: with the least of a bucket and with the neighbours before, in two orders."""
+def _members(buckets: DataFrame) -> DataFrame:
+    """(bk, lh, low): the members of buckets of two or more, with the least of the bucket."""
     hot = buckets.where("many >= 8").groupBy("bk").count().where(F.col("count") > BUCKET).select("bk")
+    low = F.min("lh").over(Window.partitionBy("bk"))
+    high = F.max("lh").over(Window.partitionBy("bk"))
 
-    def stars(rows: DataFrame, part: list[str]) -> DataFrame:
-        # Half of the bands rank by the hash, half by a hash of it: other partners for the same paragraph.
-        rank = F.when(F.col("bk") % 2 == 0, F.col("lh")).otherwise(F.xxhash64("lh"))
-        w = Window.partitionBy(*part).orderBy("rank", "lh")
-        near = [F.first("lh").over(w), *(F.lag("lh", k).over(w) for k in range(1, NEIGHBOURS + 1))]
-        return rows.withColumn("rank", rank).select("lh", F.array(*near).alias("near"), *part).select("lh", "near", *part)
-
-    def pairs(found: DataFrame) -> DataFrame:
-        some = found.where((F.col("near")[0] != F.col("lh"))).select("lh", F.explode("near").alias("b")).where("b is not null and b <> lh")
-        return some.select(F.least("lh", "b").alias("a"), F.greatest("lh", "b").alias("b"))
+    def in_windows(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bk").dropDuplicates(["bk", "lh"]).withColumns({"low": low, "high": high}).where("low <> high").select("bk", "lh", "low")
 
+    rows = buckets.select("bk", "lh")
     if hot.isEmpty():
-        rows = buckets.select("bk", "lh").repartition("bk").dropDuplicates(["bk", "lh"])
-        return pairs(stars(rows, ["bk"])).distinct()
+        return in_windows(rows)
     hot = materialize(hot, "paragraph-hot")
-    cool = buckets.select("bk", "lh").join(hot, "bk", "left_anti").repartition("bk").dropDuplicates(["bk", "lh"])
-    dealt = buckets.select("bk", "lh").join(hot, "bk", "left_semi").distinct().withColumn("salt", F.pmod(F.xxhash64("lh", F.lit(3)), F.lit(64)))
-    parts = materialize(stars(dealt, ["bk", "salt"]), "paragraph-parts")
-    heads = stars(parts.where(F.col("near")[0] == F.col("lh")).select("bk", "lh"), ["bk"])  # the least of each part, 64 a bucket
-    return pairs(stars(cool, ["bk"]).drop("bk")).union(pairs(parts.drop("bk", "salt"))).union(pairs(heads.drop("bk"))).distinct()
+    dealt = rows.join(F.broadcast(hot), "bk", "left_semi").distinct()
+    least = dealt.groupBy("bk").agg(F.min("lh").alias("low"))
+    return in_windows(rows.join(F.broadcast(hot), "bk", "left_anti")).union(dealt.join(F.broadcast(least), "bk").select("bk", "lh", "low"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose paragraphs have a shingle Jaccard similarity of JACCARD or more."""
-    asked = pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct()
-    place = lines.join(asked, "lh").groupBy("lh").agg(F.min(F.struct("dk", "th", "idx")).alias("p"))
-    by_doc = place.select("lh", "p.*").groupBy("dk", "th").agg(F.collect_list(F.struct("idx", "lh")).alias("asked"))
-    texts = docs.select("dk", "th", F.split("text", "\n").alias("l")).join(by_doc, ["dk", "th"])
-    texts = texts.select("l", F.explode("asked").alias("x")).select(F.col("x.lh").alias("lh"), F.get("l", F.col("x.idx")).alias("line")).dropDuplicates(["lh"])
-    texts = materialize(texts, "paragraph-texts")
-    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(lh, sh): the sorted distinct shingle hashes of texts (lh, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "line"):
+            found = [np.unique(np.array(shingles(t), np.uint64)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["lh", "sh"])
+
+    return texts.select("lh", "line").mapInArrow(run, "lh long, sh array<long>")
+
+
+def _lists(col: pa.Array) -> list[np.ndarray]:
+    values, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles have a Jaccard similarity of JACCARD or more."""
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = set(shingles(x)), set(shingles(y))
-                same = len(s & t)
-                keep.append(bool(s) and same >= JACCARD * (len(s) + len(t) - same))
+            for s, t in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True):
+                same = len(np.intersect1d(s, t, assume_unique=True)) if min(len(s), len(t)) >= JACCARD * max(len(s), len(t)) else 0
+                keep.append(same > 0 and same >= JACCARD * (len(s) + len(t) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (i, j) where left[i] and right[j], sorted distinct shingles, have a Jaccard similarity of JACCARD or more."""
+    n_left, n_right = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    values, owner = np.concatenate(right), np.repeat(np.arange(len(right)), n_right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    asked = np.concatenate(left)
+    low, high = np.searchsorted(values, asked, "left"), np.searchsorted(values, asked, "right")
+    starts = np.concatenate(([0], np.cumsum(n_left)))
+    shared = np.concatenate(([0], np.cumsum(high - low)))[starts]
+    i = 0
+    while i < len(left):
+        k = max(i + 1, int(np.searchsorted(shared, shared[i] + SHARED, "right")) - 1)
+        part = slice(starts[i], starts[k])
+        many = high[part] - low[part]
+        at = np.repeat(low[part] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        code, same = np.unique(np.repeat(np.repeat(np.arange(i, k), n_left[i:k]), many) * len(right) + owner[at], return_counts=True)
+        a, b = code // len(right), code % len(right)
+        ok = same >= JACCARD * (n_left[a] + n_right[b] - same)
+        yield a[ok], b[ok]
+        i = k
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (bk, i, j, side, lh, class, sh) sorted by block (bk, i, j): links (a, b) from side 0 to side 1 across classes."""
+    held: list[tuple[int, int, int, np.ndarray]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        left, right = [x for x in held if x[0] == 0], [x for x in held if x[0] == 1]
+        held.clear()
+        if left and right:
+            for a, b in similar_pairs([x[3] for x in left], [x[3] for x in right]):
+                found = [(left[i][1], right[j][1]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if left[i][2] != right[j][2]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(2)], names=["a", "b"])
+
+    last = None
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in range(6)]
+        for bk, i, j, side, lh, label, sh in zip(*cols, _lists(batch.column(6)), strict=True):
+            if (bk, i, j) != last:
+                yield from flush()
+                last = (bk, i, j)
+            held.append((side, lh, label, sh))
+    yield from flush()
+
+
+def links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) of JACCARD or more that join all such pairs of a bucket, directly or over others; more: further pairs to verify.
+
+    Every member is first compared with the least of its bucket. Where a bucket's members are in several classes after
+    that, all its pairs across classes are compared, in blocks; the class with the most members need not meet itself.
+    sets_of gives (lh, sh) for a table of lh.
+    """
+    members = materialize(_members(buckets), "paragraph-members")
+    pairs = members.where("lh <> low").select(F.col("low").alias("a"), F.col("lh").alias("b"))
+    pairs = materialize((pairs if more is None else pairs.union(more)).distinct(), "paragraph-pairs")
+    sets = materialize(sets_of(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct()), "paragraph-sets")
+    found = materialize(_verified(pairs, sets), "paragraph-stars")
+    labels = components(found).toDF("lh", "class")
+    rows = materialize(members.select("bk", "lh").join(labels, "lh", "left").withColumn("class", F.coalesce("class", "lh")), "paragraph-labelled")
+    # Buckets of the same members, in other bands, count once.
+    sign = [F.bit_xor(F.xxhash64("lh", F.lit(k))).alias(f"s{k}") for k in range(2)]
+    open_ = rows.groupBy("bk").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), *sign).where("n > 2 and low <> high")
+    open_ = materialize(open_.groupBy("s0", "s1", "n").agg(F.min("bk").alias("bk")).select("bk", "n"), "paragraph-open")
+    if open_.isEmpty():
+        return found
+    rows = rows.join(open_, "bk")
+    most = rows.groupBy("bk", "class").agg(F.count("*").alias("n")).groupBy("bk").agg(F.max(F.struct("n", "class")).alias("most"))
+    rows = rows.join(most, "bk").withColumns({"nl": F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int"), "nr": F.ceil(F.col("n") / BLOCK).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("lh"), F.col(n)).cast("int")
+    left = rows.where("class <> most.class").select("bk", own("nl").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"), "lh", "class")
+    right = rows.select("bk", every("nl").alias("i"), own("nr").alias("j"), F.lit(1).alias("side"), "lh", "class")
+    dealt = left.union(right).join(sets, "lh").select("bk", "i", "j", "side", "lh", "class", "sh")
+    block = ["bk", "i", "j"]
+    across = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_blocks, "a long, b long")
+    return found.union(materialize(across.distinct(), "paragraph-across"))
+
+
+def _sets_of_lines(lines: DataFrame, docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lh, sh) of the asked paragraphs, each read in one of its places."""
+    place = lines.join(asked, "lh").groupBy("lh").agg(F.min(F.struct("dk", "th", "idx")).alias("p"))
+    by_doc = place.select("lh", "p.*").groupBy("dk", "th").agg(F.collect_list(F.struct("idx", "lh")).alias("asked"))
+    texts = docs.select("dk", "th", F.split("text", "\n").alias("l")).join(by_doc, ["dk", "th"])
+    texts = texts.select("l", F.explode("asked").alias("x")).select(F.col("x.lh").alias("lh"), F.get("l", F.col("x.idx")).alias("line")).dropDuplicates(["lh"])
+    return shingle_sets(texts)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(dk, th, idx, chars, class, first, n) for every paragraph of keyed docs.
 
@@ -146,9 +236,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = _lines(docs).withColumn("lh", F.xxhash64("line"))
     lines = materialize(found.select("dk", "th", "idx", "lh", F.length("line").cast("long").alias("chars")), "paragraph-lines")
     buckets = materialize(_buckets(found), "paragraph-buckets")
-    pairs = materialize(_candidates(buckets), "paragraph-pairs")
-    links = components(_verified(pairs, lines, docs)).toDF("lh", "class")
-    classed = materialize(lines.join(links, "lh", "left").withColumn("class", F.coalesce("class", "lh")).drop("lh"), "paragraph-classes")
+    classes = components(links(buckets, lambda asked: _sets_of_lines(lines, docs, asked))).toDF("lh", "class")
+    classed = materialize(lines.join(classes, "lh", "left").withColumn("class", F.coalesce("class", "lh")).drop("lh"), "paragraph-classes")
     first = classed.groupBy("class").agg(F.min(F.struct("dk", "th", "idx")).alias("first"), F.count_distinct("dk", "th", "idx").alias("n"))
     return classed.join(first, "class")
 
