@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, paragraph_dedup, rule_ensemble, simhash, toxicity
+from tidemark.llm import near_documents, packing, paragraph_dedup, rule_ensemble, toxicity
 from tidemark.llm.common import materialize, table
 from tidemark.llm.queries import CUT, WORDS, ship
 
@@ -30,9 +30,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates: five-word shingles, similarity 0.8 or more."""
     ship(spark)
-    return simhash.deduplicate(docs)
+    return near_documents.deduplicate(docs)
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

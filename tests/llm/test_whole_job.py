@@ -36,3 +36,18 @@ def test_similar_pairs_are_all_pairs(monkeypatch):
         monkeypatch.setattr(paragraph_dedup, "SHARED", shared)
         got = [p for a, b in paragraph_dedup.similar_pairs(sets, sets) for p in zip(a.tolist(), b.tolist(), strict=True)]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_stage_drops_near_documents(spark):
+    """Copies with a changed word in fifty (similarity 0.82) are many SimHash bits away, yet go."""
+    import corpus_pipeline
+
+    rng, rows = random.Random(3), []
+    for i in range(30):
+        x = words(rng, 300)
+        y = [w + "x" if k % 50 == 25 else w for k, w in enumerate(x)]
+        z = [w + "x" if k % 10 == 5 else w for k, w in enumerate(x)]  # similarity 0.33: another text
+        rows += [(i, " ".join(x)), (100 + i, " ".join(y)), (200 + i, " ".join(z))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [*range(30), *range(200, 230)]

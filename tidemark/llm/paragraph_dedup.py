@@ -68,7 +68,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64("text")})
 
 
-def _buckets(lines: DataFrame) -> DataFrame:
+def bucketed(lines: DataFrame) -> DataFrame:
     """(bk, lh, many): every distinct paragraph's hash under each of its bucket keys; many: members of the bucket in the same piece of work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     found = _lines(docs).withColumn("lh", F.xxhash64("line"))
     lines = materialize(found.select("dk", "th", "idx", "lh", F.length("line").cast("long").alias("chars")), "paragraph-lines")
-    buckets = materialize(_buckets(found), "paragraph-buckets")
+    buckets = materialize(bucketed(found), "paragraph-buckets")
     classes = components(links(buckets, lambda asked: _sets_of_lines(lines, docs, asked))).toDF("lh", "class")
     classed = materialize(lines.join(classes, "lh", "left").withColumn("class", F.coalesce("class", "lh")).drop("lh"), "paragraph-classes")
     first = classed.groupBy("class").agg(F.min(F.struct("dk", "th", "idx")).alias("first"), F.count_distinct("dk", "th", "idx").alias("n"))
