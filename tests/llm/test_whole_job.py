@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import paragraph_dedup
+from tidemark.llm import near_documents, paragraph_dedup
 
 
 def words(rng, n):
@@ -51,3 +51,13 @@ def test_stage_drops_near_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == [*range(30), *range(200, 230)]
+
+
+def test_stage_keeps_rows_that_are_no_duplicates(spark):
+    """Null ids and different texts under one id stay; the row kept is that of the least id, then text hash."""
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (3, c), (7, c), (7, d), (9, d), (9, d), (9, e), (None, e), (11, None), (12, " \n"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_documents.deduplicate(docs).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (None, b), (3, c), (7, d), (9, e), (11, None)]))
