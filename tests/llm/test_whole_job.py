@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import near_documents, paragraph_dedup
+from tidemark.llm import near_documents, paragraph_dedup, passages
 
 
 def words(rng, n):
@@ -61,3 +61,27 @@ def test_stage_keeps_rows_that_are_no_duplicates(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = near_documents.deduplicate(docs).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (None, b), (3, c), (7, d), (9, e), (11, None)]))
+
+
+def test_passages_go_from_any_line(spark):
+    """A passage inside longer lines, wrapped over short lines, or twice in one text, against all windows."""
+    rng = random.Random(5)
+    p, q = words(rng, 70), words(rng, 55)
+    own = [words(rng, 40) for _ in range(8)]
+    wrapped = "\n".join(" ".join(q[k : k + 9]) for k in range(0, 55, 9))
+    rows = [(1, " ".join(own[0] + p + own[1])), (2, " ".join(own[2] + p + own[3]).upper()), (3, " ".join(q + own[4])), (4, " ".join(own[5]) + "\n" + wrapped + "\n" + " ".join(own[6]))]
+    rows += [(5, " ".join(p[:49] + own[7])), (6, "again " * 200), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = {r["doc_id"]: r["text"] for r in paragraph_dedup.deduplicate(df).collect()}
+    assert [cut[k] for k in (1, 3, 5, 7, 8)] == [dict(rows)[k] for k in (1, 3, 5, 7, 8)]
+    assert cut[2].lower().split() == own[2] + own[3] and cut[4].split() == own[5] + own[6] and len(cut[6].split()) == 50
+    got = {r["doc_id"]: (r["n_passages"], r["passage_chars"] > 0, r["copy_of"]) for r in paragraph_dedup.summary(df).collect()}
+    assert got == {1: (0, False, []), 2: (1, True, [1]), 3: (0, False, []), 4: (1, True, [3]), 5: (0, False, []), 6: (1, True, [6]), 7: (0, False, []), 8: (0, False, [])}
+
+
+def test_equal_windows_share_an_anchor():
+    rng = random.Random(6)
+    p = words(rng, 50)
+    for _ in range(50):
+        found = [set(passages.anchors(passages.word_hashes(" ".join(words(rng, rng.randint(0, 80)) + p + words(rng, rng.randint(0, 80)))))[1].tolist()) for _ in range(2)]
+        assert found[0] & found[1]

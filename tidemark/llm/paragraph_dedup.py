@@ -1,4 +1,4 @@
-"""Operator 7: near-duplicate paragraphs by MinHash banding, exact Jaccard and components."""
+"""Operator 7: near-duplicate paragraphs by MinHash banding, exact Jaccard and components; then repeated passages."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import LOWER, SPACES, UPPER, components, materialize, pieces
 from .line_rules import blank, n_of
 
@@ -246,36 +247,50 @@ def _is_copy() -> Column:
     return F.col("first") != F.struct("dk", "th", "idx")
 
 
+def _without_lines(own: DataFrame, found: DataFrame) -> DataFrame:
+    """own (keyed) with repeated paragraphs cut from text; a text that loses nothing stays as it is, byte for byte."""
+    gone = found.where(_is_copy()).groupBy("dk", "th").agg(F.collect_set("idx").alias("_gone"))
+    cut = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return own.join(gone, ["dk", "th"], "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)).select(*own.columns)
+
+
 def summary(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_paragraphs, n_repeated, n_removed, removed_chars, copy_of) for every row of docs (doc_id, text).
+    """(doc_id, n_paragraphs, n_repeated, n_removed, removed_chars, copy_of, n_passages, passage_chars) for every row of docs (doc_id, text).
 
     n_repeated: paragraphs with a near-duplicate, firsts included; n_removed: those that aren't the first of their
-    class by doc_id and line; copy_of: the doc_ids that hold the firsts of removed ones. Lines of under MIN_WORDS words
-    are left alone. Null and empty texts have zeros. Rows of the same doc_id and text are one document.
+    class by doc_id and line; copy_of: the doc_ids that hold the firsts of what is removed. Lines of under MIN_WORDS
+    words aren't paragraphs. n_passages: runs of words cut from the rest since they repeat earlier windows of
+    passages.WINDOW words, in any lines; passage_chars: what they take. Null and empty texts have zeros. Rows of the
+    same doc_id and text are one document.
     """
     own = keyed(docs.select("doc_id", "text"))
-    found = repeats(own)
+    found = materialize(repeats(own), "paragraph-repeats")
+    rest = materialize(_without_lines(own, found).select("dk", "th", "text"), "paragraph-rest")
+    cuts = passages.repeats(rest)
+    cut = passages.without(rest, cuts).select("dk", "th", "n_passages", "passage_chars").join(cuts.select("dk", "th", "sources"), ["dk", "th"])
     copy = _is_copy()
     sums = found.groupBy("dk", "th").agg(
         F.count_distinct("idx").alias("n_paragraphs"),
         F.count_distinct(F.when(F.col("n") > 1, F.col("idx"))).alias("n_repeated"),
         F.sort_array(F.collect_set(F.when(copy, F.struct("idx", "chars")))).alias("gone"),
-        F.sort_array(F.collect_set(F.when(copy, F.col("first.dk")))).alias("copy_of"),
+        F.collect_set(F.when(copy, F.col("first.dk"))).alias("copy_of"),
     )
-    zero = F.lit(0).cast("long")
-    return own.select("doc_id", "dk", "th").join(sums, ["dk", "th"], "left").select(
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    return own.select("doc_id", "dk", "th").join(sums, ["dk", "th"], "left").join(cut, ["dk", "th"], "left").select(
         "doc_id",
         F.coalesce("n_paragraphs", zero).alias("n_paragraphs"),
         F.coalesce("n_repeated", zero).alias("n_repeated"),
         F.coalesce(F.size("gone").cast("long"), zero).alias("n_removed"),
         F.coalesce(F.aggregate("gone", zero, lambda a, x: a + x["chars"]), zero).alias("removed_chars"),
-        F.coalesce("copy_of", F.array().cast("array<bigint>")).alias("copy_of"),
+        F.sort_array(F.array_union(F.coalesce("copy_of", none), F.coalesce("sources", none))).alias("copy_of"),
+        F.coalesce("n_passages", zero).alias("n_passages"),
+        F.coalesce("passage_chars", zero).alias("passage_chars"),
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with repeated paragraphs cut from text; a text that loses nothing stays as it is, byte for byte."""
+    """docs with repeated paragraphs cut from text, then repeated passages; a text that loses nothing stays as it is, byte for byte."""
     own = keyed(docs)
-    gone = repeats(own.select("dk", "th", "text")).where(_is_copy()).groupBy("dk", "th").agg(F.collect_set("idx").alias("_gone"))
-    cut = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return own.join(gone, ["dk", "th"], "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    rest = materialize(_without_lines(own, repeats(own.select("dk", "th", "text"))), "paragraph-rest")
+    cut = passages.without(rest, passages.repeats(rest)).select("dk", "th", F.col("text").alias("_cut"))
+    return rest.join(cut, ["dk", "th"], "left").withColumn("text", F.coalesce("_cut", "text")).select(*docs.columns)
