@@ -290,16 +290,66 @@ def test_context_mixing(docs, none, texts):
     assert context_mixing.score(none).count() == 0
 
 
-def test_context_mixing_tail_words(docs, monkeypatch):
-    want = pairs(context_mixing.score(docs), "n_known", F.round("base_score", 6))
+def test_context_mixing_tail(docs, monkeypatch):
+    cols = ("n_known", F.round("base_score", 6), F.round("score", 6))
+    want = pairs(context_mixing.score(docs), *cols)
+    assert pairs(context_mixing.score(docs.repartition(7)), *cols) == want  # the same however rows are dealt
     monkeypatch.setattr(context_mixing, "HOT_WORDS", 5)  # nearly all words meet their counts in the join
-    assert pairs(context_mixing.score(docs), "n_known", F.round("base_score", 6)) == want
+    monkeypatch.setattr(context_mixing, "HOT_UNITS", 5)
+    assert pairs(context_mixing.score(docs), *cols) == want
+
+
+def _mixer(rows):
+    """A mixer over rows (unit, kind, n), and the rows as its arrays in order."""
+    a, b = (np.array([int.from_bytes(u.ljust(16, b"\0")[k : k + 8], "big") for u, _, _ in rows], np.uint64) for k in (0, 8))
+    size, kind, n = (np.array(x, np.int64) for x in zip(*((len(u), k, n) for u, k, n in rows), strict=True))
+    order = np.lexsort((kind, b, a))
+    a, b, size, kind, n = (x[order] for x in (a, b, size, kind, n))
+    prefixes = np.zeros((context_mixing.TOPICS * context_mixing.KINDS, 65536))
+    np.add.at(prefixes, (kind, (a >> np.uint64(48)).astype(int)), n)
+    return context_mixing.Mixer.untrained(prefixes), (a, b, size, kind, n)
+
+
+def test_mixing_counts_what_begins_alike():
+    rng = random.Random(4)
+    rows = {(bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 11))) + b" ", rng.randint(0, 4)): rng.randint(0, 5) for _ in range(300)}
+    mixer, unit = _mixer([(u, k, n) for (u, k), n in rows.items()])
+    bits = lambda u: "".join(f"{c:08b}" for c in u)
+    a, b, size, kind, n = unit
+    names = [(int(x).to_bytes(8, "big") + int(y).to_bytes(8, "big"))[:m] for x, y, m in zip(a, b, size, strict=True)]
+    depth = np.zeros(len(a), int)
+    for at, _, bit, x, _ in mixer.inputs(*unit, without=False):
+        for r in rng.sample(range(len(at)), min(5, len(at))):
+            i = at[r]
+            own = bits(names[i])
+            assert int(own[depth[i]]) == bit[r]
+            for col, same in ((0, lambda k: True), (1, lambda k, i=i: k == kind[i])):
+                total = [sum(c for (u, k), c in rows.items() if same(k) and bits(u)[:d] == own[:d]) for d in (depth[i], depth[i] + 1)]
+                assert math.isclose(x[r, col], math.log((total[1] + 0.4) / (total[0] - total[1] + 0.4)), rel_tol=1e-5, abs_tol=1e-5)
+        depth[at] += 1
+    assert (depth == 8 * size).all()
 
 
 def test_mixing_is_a_distribution():
-    model = context_mixing.Model.untrained()
-    g = (np.uint64(0x6162636465) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert math.isclose(float((10 ** model.cost(g)).sum()), 1, rel_tol=1e-9)
+    words = [(b"stone ", 0, 5), (b"store ", 0, 2), (b"river ", 1, 9)]
+    every = [(b"sto" + bytes([c]), 0, 0) for c in range(256)]
+    mixer, unit = _mixer(words)
+    size = [1 << k for k in context_mixing.SLOT_BITS]
+    mixer.ones = [np.random.default_rng(k).integers(0, 9, n).astype(np.float32) for k, n in enumerate(size)]
+    mixer.learn(np.zeros_like(mixer.weights), np.zeros(context_mixing.GATES), np.zeros((256, 33)), np.zeros((256, 33)), *unit)
+    _, asked = _mixer(words + every)
+    four = mixer.cost(*(x[(asked[4] == 0)] for x in asked))
+    _, asked = _mixer([(b"sto", 0, 0)])
+    three = mixer.cost(*asked)
+    assert math.isclose(float((10**four).sum()), float(10 ** three[0]), rel_tol=1e-6)
+
+
+def test_mixing_tables_find_keys():
+    keys = context_mixing.mixed(np.arange(1, 5001))
+    table = context_mixing.Table.of(keys, np.arange(5000.0))
+    values, known = table.look_up(np.concatenate((keys, context_mixing.mixed(np.arange(5000, 9000)), np.zeros(1, np.uint64))))
+    assert not known[5000:].any() and known[:5000].sum() == table.held > 4000
+    assert (values[:5000][known[:5000]] == np.arange(5000)[known[:5000]]).all()
 
 
 def test_paragraphs(spark, none):
