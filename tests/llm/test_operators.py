@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import xxhash
@@ -124,7 +125,6 @@ def test_packing(docs, none, texts):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = []
     for i, t in texts:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
@@ -137,6 +137,19 @@ def test_packing(docs, none, texts):
     assert packing.pack(none, path).count() == 0
 
 
+def test_tokens_of_odd_texts():
+    """Ids as the library gives them, its own tokens and signs of all kinds included."""
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), random.Random(8)
+    tok, own = Tokenizer.from_file(path), packing.Tokens(path)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "don't", "U.S.", "é", "ß", "日本", "\u0301", "42", "3.5", "--", "...", "A", "word", "Word's", "🙂", "\u00a0", "_", "</w>"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " ", "\n", "\t"]) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    got = own.encode(pa.array(texts))
+    for t, x, e in zip(texts, got, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == e.ids, t
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(6)
     for capacity in (10, 64):

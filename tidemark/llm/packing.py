@@ -106,6 +106,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return moves
 
 
+#: The tokenizer's own tokens begin and end so.
+OWN = ("<|", "|>")
+
+
 class Memory(dict):
     """Ids by string; starts anew once it holds MEMORY strings."""
 
@@ -123,14 +127,13 @@ class Tokens:
     """Ids of texts. Chunks between spaces and line ends are encoded by themselves: the tokenizer drops white space and none of its pieces spans it.
 
     A chunk of Latin letters with signs behind is encoded as the lower-case word and the signs: the tokenizer folds
-    case and splits there as well.
+    case and splits there as well. A text that may hold one of the tokenizer's own tokens is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = Memory()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -179,7 +182,10 @@ class Tokens:
             ids[i] += behind[x]
         at, get = coded.indices.to_numpy().tolist(), ids.__getitem__
         sizes = pc.list_value_length(split).to_pylist()
-        return [b"".join(map(get, at[stop - n : stop])) for n, stop in zip(sizes, itertools.accumulate(sizes), strict=True)]
+        out = [b"".join(map(get, at[stop - n : stop])) for n, stop in zip(sizes, itertools.accumulate(sizes), strict=True)]
+        for i in pc.indices_nonzero(pc.and_(*(pc.match_substring(texts, x).fill_null(False) for x in OWN))).to_pylist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @functools.lru_cache(2)
