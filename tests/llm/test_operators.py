@@ -430,6 +430,34 @@ def test_nearest(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_nearest_of_odd_tables(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = np.concatenate((rng.normal(size=(900, 8)), rng.normal(size=(3, 8)) * 0.001 + 40.0))  # three far from all others
+    rows = [(i, v.tolist(), "c") for i, v in enumerate(x)]
+    rows += [(50, v.tolist(), "c") for v in x[1:30]] + [(7, x[0].tolist(), "c")] * 40 + [(None, x[0].tolist(), "c"), (950, x[900].tolist(), "c"), (951, None, "c"), (952, [1.0, 2.0], "c")]
+    rows += [(k, (x[100] * 2.0 ** (k - 1000)).tolist(), "c") for k in range(1000, 1040)]  # one direction, many ids
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string")
+    monkeypatch.setattr(ann, "ASKED", 4)
+    monkeypatch.setattr(ann, "CHUNK", 50)
+    got = ann.search(df, prune=0.01).toPandas()
+    ok = [(i, np.array(v)) for i, v, _ in rows if i is not None and v is not None and len(v) == 8]
+    asked = sorted({i for i, _ in ok if i % 50 == 0})
+    assert sorted(set(got.query_id)) == asked and (got.groupby("query_id").size() == 5).all()
+    assert not got.duplicated(["query_id", "vec_id"]).any() and (got.query_id != got.vec_id).all()
+    best = {}
+    for q, a in ok:
+        for i, b in ok if q in (0, 100, 1000, 950) else ():
+            if i != q:
+                best[q, i] = max(best.get((q, i), -2.0), float((a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum())))
+    exact = ann.search(df, prune=np.inf).toPandas()
+    for q in (0, 100, 1000, 950):
+        want = sorted(((-round(s, 12), i) for (p, i), s in best.items() if p == q))[:5]
+        mine = exact[exact.query_id == q].sort_values("rank")
+        assert [(-round(s, 12), i) for s, i in zip(mine.score, mine.vec_id, strict=True)] == want
+    few = ann.search(df.where("vec_id in (0, 1, 2)")).toPandas()
+    assert few.vec_id.tolist() == few.sort_values("rank").vec_id.tolist() and len(few) == 2
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
