@@ -291,6 +291,37 @@ def test_chain_marginals():
     assert np.allclose(steps, total)
 
 
+def test_chains_go_on_from_row_to_row(monkeypatch):
+    chain = toxicity.Chain({"wa$": 0.8, "wb$": -0.6}, -0.5, (-0.7, 0.3, 1.1))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["wa", "wb", "wc"]) for _ in range(n)) for n in (0, 3, 7, 8, 9, 16, 17, 500, 1)]
+    found = []
+    for length in (8, 128, 2000):
+        monkeypatch.setattr(toxicity, "CHAIN", length)
+        found.append(toxicity.Tagger(chain).tag(texts)[2])
+    assert np.allclose(found[0], found[2], atol=1e-9) and np.allclose(found[1], found[2], atol=1e-9)
+
+
+def test_toxicity_scores_against_brute_force(spark, monkeypatch):
+    """Scores and spans of tag() from marginals summed over all taggings of short texts."""
+    chain = toxicity.Chain({"bad$": 3.0, "bad": 0.5, "shape:upper": 0.4}, -2.0, (-0.7, 0.3, 1.1))
+    tagger, texts = toxicity.Tagger(chain, (-1.0, 2.0, 0.7, 0.1)), ["a bad day", "BAD! bad", "fine", "", None, "so  bad\nbad ends here"]
+    got = {r["doc_id"]: r for r in toxicity.tag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tagger).collect()}
+    step = {(0, 0): 0.0, (0, 1): -0.7, (1, 0): 0.3, (1, 1): 1.1}
+    for i, t in enumerate(texts):
+        spots = [m.span() for m in WORD.finditer(t or "")]
+        scores, total, one = [chain.score(t[a:b]) for a, b in spots], 0.0, [0.0] * len(spots)
+        for tags in np.ndindex(*[2] * len(spots)):
+            w = math.exp(sum(s for s, k in zip(scores, tags, strict=True) if k) + sum(step[x] for x in zip(tags, tags[1:], strict=False)))
+            total += w
+            one = [o + w * k for o, k in zip(one, tags, strict=True)]
+        p = [o / total for o in one]
+        strong = [x for x in p if x >= 0.5]
+        z = -1.0 + 2.0 * max(strong, default=0.0) + 0.7 * math.log1p(sum(strong)) + 0.1 * min(5.0, 100 * sum(strong) / max(1, len(p)))
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+        assert {k for s in got[i]["spans"] for k, (a, b) in enumerate(spots) if s["start"] <= a and b <= s["end"]} == {k for k, x in enumerate(p) if x >= 0.5}
+
+
 def test_context_mixing(docs, none, texts):
     got = context_mixing.score(docs).toPandas()
     known = [(i, [*WORD.findall(lower(t or "")), ""]) for i, t in texts]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +19,7 @@ from .rule_ensemble import train_rows
 
 #: Labelled documents that a fit takes at most, those of the least hashes.
 MAX_TRAIN = 6_000
-#: A chain starts anew after so many tokens.
+#: Tokens in a row of the matrices; a document's rows hand their odds on, and training takes each row by itself.
 CHAIN = 128
 #: Tokens that a worker remembers at most.
 MEMORY = 400_000
@@ -26,9 +28,30 @@ _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
 def features(token: str) -> tuple[str, ...]:
-    """A token's features: its lower-case word without outer signs, and the word's prefixes of 4 to 8 letters."""
+    """A token's features: its lower-case word without outer signs, and the word's prefixes of 3 to 8 letters."""
     word = _EDGE.sub("", token.lower())
-    return (word + "$", *(word[:n] for n in range(4, min(8, len(word)) + 1))) if word else ()
+    return (word + "$", *(word[:n] for n in range(3, min(8, len(word)) + 1))) if word else ()
+
+
+def shape(token: str) -> tuple[str, ...]:
+    """What a token looks like, whatever its word: capitals, digits and signs, and how long it is."""
+    word = _EDGE.sub("", token)
+    return tuple(
+        name
+        for name, holds in (
+            ("shape:upper", word.isupper() and len(word) > 1),
+            ("shape:title", word.istitle()),
+            ("shape:digit", any(c.isdigit() for c in token)),
+            ("shape:signs", len(token) - len(word) > 1),
+            ("shape:none", not word),
+            ("shape:short", 0 < len(word) < 4),
+            ("shape:long", len(word) > 12),
+        )
+        if holds
+    )
+
+
+SHAPES = ("shape:upper", "shape:title", "shape:digit", "shape:signs", "shape:none", "shape:short", "shape:long")
 
 
 def chains(sizes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -47,17 +70,65 @@ class Chain:
     bias: float = -4.0
     steps: tuple[float, float, float] = (0.0, 0.0, 0.0)  # 0 to 1, 1 to 0, 1 to 1
 
-    def marginals(self, e: np.ndarray, real: np.ndarray, times: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Of rows of scores for tag 1: P(tag 1) of each token, and how often each step is expected, in all; a row counts `times`."""
+    def handed_on(self, x: np.ndarray, real: np.ndarray, next_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of odds x of tag 1 (next_: the row goes on in the next one): the odds of tag 1 before each row, and after it (nan: none).
+
+        A row turns what comes before it into what comes after by a two-by-two matrix; the matrices are found for all
+        rows at once, and followed along each document.
+        """
+        t01, t10, t11 = np.exp(self.steps)
+        n, m = x.shape
+        first, last = np.full(n, np.nan), np.full(n, np.nan)
+        some = np.flatnonzero(next_ | np.concatenate(([False], next_[:-1])))
+        if not len(some):
+            return first, last
+        x, real = x[some], real[some]
+        up, down = (np.tile(np.eye(2), (len(some), 1, 1)) for _ in range(2))  # weights of tags 0 and 1 (rows), from either tag (columns)
+        for k in range(m):
+            a, b = up[:, 0] + up[:, 1] * t10, (up[:, 0] * t01 + up[:, 1] * t11) * x[:, k, None]
+            up = np.stack([a, b], 1) / (a + b).sum(1)[:, None, None]
+            y = x[:, m - 1 - k, None] * down[:, 1]
+            a, b = down[:, 0] + y * t01, down[:, 0] * t10 + y * t11
+            down = np.where(real[:, m - 1 - k, None, None], np.stack([a, b], 1) / (a + b).sum(1)[:, None, None], down)
+        place = {int(r): i for i, r in enumerate(some)}
+        for r in some.tolist():
+            if not next_[r]:
+                continue
+            i = place[r]
+            if np.isnan(first[r]):  # no step leads into a document: its first odds are its token's
+                odds = x[i, 0]
+                for k in range(1, m):
+                    odds = x[i, k] * (t01 + odds * t11) / (1 + odds * t10)
+            else:
+                odds = (up[i, 1, 0] + first[r] * up[i, 1, 1]) / (up[i, 0, 0] + first[r] * up[i, 0, 1])
+            first[r + 1] = odds
+        for r in some[::-1].tolist():
+            if next_[r]:
+                i = place[r + 1]
+                if np.isnan(last[r + 1]):
+                    last[r] = down[i, 1].sum() / down[i, 0].sum()
+                else:
+                    last[r] = (down[i, 1, 0] + last[r + 1] * down[i, 1, 1]) / (down[i, 0, 0] + last[r + 1] * down[i, 0, 1])
+        return first, last
+
+    def marginals(self, e: np.ndarray, real: np.ndarray, times: np.ndarray | float = 1.0, next_: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows of scores for tag 1: P(tag 1) of each token, and how often each step inside rows is expected, in all.
+
+        A row counts `times`; next_: whether it goes on in the next one.
+        """
         n, m = e.shape
         t01, t10, t11 = np.exp(self.steps)
         x = np.exp(np.clip(e, -30, 30))
         odds = np.empty((m, n))  # forward: weight of tag 1 against tag 0, up to here
         odds[0] = x[:, 0]
+        first, last = self.handed_on(x, real, next_) if next_ is not None else (np.full(n, np.nan), np.full(n, np.nan))
+        inner = ~np.isnan(first)
+        odds[0, inner] *= (t01 + first[inner] * t11) / (1 + first[inner] * t10)
         for k in range(1, m):
             p = odds[k - 1]
             odds[k] = x[:, k] * (t01 + p * t11) / (1 + p * t10)
         back = np.ones((m, n))  # backward: tag 1 against tag 0, from here on
+        back[m - 1, ~np.isnan(last)] = last[~np.isnan(last)]
         for k in range(m - 2, -1, -1):
             q = np.where(real[:, k + 1], x[:, k + 1] * back[k + 1], 0)
             back[k] = np.where(real[:, k + 1], (t10 + q * t11) / (1 + q * t01), 1)
@@ -71,32 +142,54 @@ class Chain:
 
     def score(self, token: str) -> float:
         get = self.weights.get
-        return self.bias + sum(get(f, 0.0) for f in features(token))
+        return self.bias + sum(get(f, 0.0) for f in features(token)) + sum(get(f, 0.0) for f in shape(token))
+
 
+def suspects(tokens: list[list[str]], toxic: np.ndarray, least: int = 3, ratio: float = 20.0, chance: float = 300) -> set[str]:
+    """Features that toxic documents hold at least `ratio` times as often as others, in `least` documents or more.
 
-def suspects(tokens: list[list[str]], toxic: np.ndarray, least: int = 3, ratio: float = 20.0) -> set[str]:
-    """Features that toxic documents hold at least `ratio` times as often as others, in `least` documents or more."""
+    So many of a feature's documents are toxic that, by Chernoff's bound, less than `chance` of all features would
+    reach that if toxic documents were any.
+    """
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    share, met = n1 / (n1 + n0), set()
+
+    def fresh(doc: list[str]) -> set[str]:
+        """Words of the document between neighbours that no document before had: what copies repeat counts once."""
+        new = {x for x in zip(["", *doc], doc, [*doc[1:], ""], strict=False) if x not in met}
+        met.update(new)
+        return {w for _, w, _ in new}
+
     one, none = Counter(), Counter()
     for doc, t in zip(tokens, toxic, strict=True):
         if t:
-            one.update({f for w in set(doc) for f in features(w)})
+            one.update({f for w in fresh(doc) for f in features(w)})
+    bound = math.log(max(1, len(one)) / chance)
     one = Counter({f: c for f, c in one.items() if c >= least})
     for doc, t in zip(tokens, toxic, strict=True):
         if not t:  # only what toxic documents hold is counted in the others
             none.update({f for w in set(doc) for f in features(w) if f in one})
-    return {f for f, c in one.items() if c / n1 >= ratio * (none[f] + 0.5) / n0}
+
+    def surprise(c: int, d: int) -> float:
+        p = c / (c + d)
+        return (c + d) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if d else 0.0))
+
+    return {f for f, c in one.items() if c / n1 >= ratio * (none[f] + 0.5) / n0 and surprise(c, none[f]) >= bound}
 
 
 def fit_chain(tokens: list[list[str]], toxic: np.ndarray, rounds: int = 60) -> Chain:
-    """A chain from documents: in toxic ones, tokens with a suspect feature are labelled 1; all others 0."""
-    names = sorted(suspects(tokens, toxic))
+    """A chain from documents: in toxic ones, tokens with a suspect feature are labelled 1; all others 0.
+
+    The chain learns weights of those features, of the shapes of the tokens that hold one, and of steps between tags.
+    """
+    found = suspects(tokens, toxic)
+    names = sorted(found) + list(SHAPES)
     index = {f: i for i, f in enumerate(names)}
-    of = {t: found for t in {t for doc in tokens for t in doc} if (found := [index[f] for f in features(t) if f in index])}
+    of = {t: [*own, *(index[f] for f in shape(t))] for t in {t for doc in tokens for t in doc} if (own := [index[f] for f in features(t) if f in found])}
     sizes = np.array([len(d) for d in tokens], np.int64)
     place, rows = chains(sizes)
     chain = Chain()
-    if not rows or not names:
+    if not rows or not found:
         return chain
     met = [(i, of[t]) for i, t in enumerate(t for d in tokens for t in d) if t in of]
     hits = [i for i, _ in met]
@@ -161,7 +254,10 @@ class Tagger:
         e, real = np.zeros(rows * CHAIN), np.zeros(rows * CHAIN, bool)
         e[place] = np.fromiter((memory[t] for doc in tokens for t in doc), float, int(sizes.sum()))
         real[place] = True
-        p, _ = self.chain.marginals(e.reshape(rows, CHAIN), real.reshape(rows, CHAIN))
+        many = -(-sizes // CHAIN)
+        next_ = np.ones(rows, bool)
+        next_[np.cumsum(many)[many > 0] - 1] = False
+        p, _ = self.chain.marginals(e.reshape(rows, CHAIN), real.reshape(rows, CHAIN), next_=next_)
         return tokens, sizes, p.ravel()[place]
 
     @staticmethod
@@ -188,10 +284,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 
 
 def fit(texts: list[str | None], toxic: np.ndarray) -> Tagger:
-    """The chain learns from two thirds of the documents, the documents' score from the rest, which it hasn't seen."""
+    """The chain learns from four fifths of the documents, the documents' score from the rest, which it hasn't seen."""
     one: dict[str, str] = {}  # equal tokens share one string
     tokens = [[one.setdefault(w, w) for w in TOKEN.findall(t or "")] for t in texts]
-    rest = np.arange(len(texts)) % 3 == 2
+    # Documents that begin alike, as copies do, go together.
+    rest = np.array([zlib.crc32(" ".join(d[:3]).encode()) % 4 == 3 for d in tokens], bool)
     pick = lambda mask: [d for d, k in zip(tokens, mask, strict=True) if k]
     tagger = Tagger(fit_chain(pick(~rest), toxic[~rest]))
     if rest.any():
