@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, in every operator: [\x20\x09-\x0D].
@@ -20,9 +21,11 @@ PIECE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; where the session names none, a fresh temporary one on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,15 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): the other columns in one, so that their names clash with nothing."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in columns])
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, mod n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `limit` bytes of text, so that memory doesn't follow the rows of a batch."""
     for batch in batches:
@@ -91,12 +100,3 @@ def components(edges: DataFrame) -> DataFrame:
         label = maps.pop().join(up, "m", "left").select("a", F.coalesce("root", "m").alias("m"))
     low = label.groupBy("m").agg(F.min("a").alias("component"))
     return label.join(low, "m").select(F.col("a").alias("node"), "component")
-
-
-def salted(df: DataFrame, keys: list[str], counts: DataFrame, limit: int, spread: Column) -> DataFrame:
-    """df with `salt`: groups of over `limit` rows (counts: keys, n) are dealt to n / limit parts by `spread`."""
-    return df.join(counts, keys).withColumn("salt", F.pmod(spread, F.ceil(F.col("n") / limit).cast("int")))
-
-
-def window_first(part: list[str], order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*part).orderBy(*order)) == 1

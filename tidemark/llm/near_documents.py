@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, materialize
+from .common import components, materialize, packed, unpacked
 from .line_rules import blank
 from .paragraph_dedup import SHINGLE, bucketed, links, shingle_sets
 
@@ -30,7 +30,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     That of the smallest doc_id stays, null last; of rows that share it, the one with the least text hash. Texts without
     words count as one. The doc_id alone decides nothing: rows of one id with different texts stay in their components.
     """
-    keyed = docs.withColumn("_th", F.when(blank(F.coalesce("text", F.lit(""))), F.lit(0).cast("long")).otherwise(F.xxhash64("text")))
+    keyed = packed(docs).withColumn("_th", F.when(blank(F.coalesce("text", F.lit(""))), F.lit(0).cast("long")).otherwise(F.xxhash64("text")))
     keys = materialize(keyed.select("doc_id", "_th"), "near-keys")
     place = materialize(keys.where("_th <> 0").groupBy("_th").agg(F.min("doc_id").alias("_id")), "near-places")
 
@@ -52,4 +52,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     is_again = (F.col("_th") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     once = kept.join(again, is_again, "left_anti")
     twice = kept.join(again, is_again, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
-    return once.unionByName(twice).select(*docs.columns)
+    return unpacked(once.unionByName(twice), docs.columns)

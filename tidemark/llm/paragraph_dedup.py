@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import LOWER, SPACES, UPPER, components, materialize, pieces
+from .common import LOWER, SPACES, UPPER, components, materialize, packed, pieces, unpacked
 from .line_rules import blank, n_of
 
 #: Paragraphs are lines of this many blanks-separated words or more.
@@ -70,7 +70,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def bucketed(lines: DataFrame) -> DataFrame:
-    """(bk, lh, many): every distinct paragraph's hash under each of its bucket keys; many: members of the bucket in the same piece of work."""
+    """(bk, lh): every distinct paragraph's hash under each of its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "line"):
@@ -84,15 +84,15 @@ def bucketed(lines: DataFrame) -> DataFrame:
             if not ids:
                 continue
             keys = band_keys(np.array(hashes, np.uint64), np.array(starts)).ravel().view(np.int64)
-            _, which, many = np.unique(keys, return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(ids, np.int64), BANDS)), pa.array(many[which].astype(np.int32))], names=["bk", "lh", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["bk", "lh"])
 
-    return lines.select("lh", "line").mapInArrow(run, "bk long, lh long, many int")
+    return lines.select("lh", "line").mapInArrow(run, "bk long, lh long")
 
 
 def _members(buckets: DataFrame) -> DataFrame:
     """(bk, lh, low): the members of buckets of two or more, with the least of the bucket."""
-    hot = buckets.where("many >= 8").groupBy("bk").count().where(F.col("count") > BUCKET).select("bk")
+    # Every 64th member tells which buckets are large; either way gives the same rows.
+    hot = buckets.where(F.pmod(F.xxhash64("lh", F.lit(5)), F.lit(64)) == 0).groupBy("bk").count().where(F.col("count") > BUCKET / 128).select("bk")
     low = F.min("lh").over(Window.partitionBy("bk"))
     high = F.max("lh").over(Window.partitionBy("bk"))
 
@@ -239,8 +239,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = materialize(bucketed(found), "paragraph-buckets")
     classes = components(links(buckets, lambda asked: _sets_of_lines(lines, docs, asked))).toDF("lh", "class")
     classed = materialize(lines.join(classes, "lh", "left").withColumn("class", F.coalesce("class", "lh")).drop("lh"), "paragraph-classes")
-    first = classed.groupBy("class").agg(F.min(F.struct("dk", "th", "idx")).alias("first"), F.count_distinct("dk", "th", "idx").alias("n"))
-    return classed.join(first, "class")
+    place = F.struct("dk", "th", "idx")
+    first = classed.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count_distinct("dk", "th", "idx").alias("n"))
+    # A table of its own: so a common class's paragraphs are not dealt by class for both the sums and the join.
+    first = materialize(first.where("first <> last").drop("last"), "paragraph-firsts")
+    return classed.join(first, "class", "left").withColumns({"first": F.coalesce("first", place), "n": F.coalesce("n", F.lit(1).cast("long"))})
 
 
 def _is_copy() -> Column:
@@ -255,12 +258,12 @@ def _without_lines(own: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_paragraphs, n_repeated, n_removed, removed_chars, copy_of, n_passages, passage_chars) for every row of docs (doc_id, text).
+    """(doc_id, n_paragraphs, n_repeated, n_removed, removed_chars, copy_of, n_passages, passage_chars, cut_chars) for every row of docs (doc_id, text).
 
     n_repeated: paragraphs with a near-duplicate, firsts included; n_removed: those that aren't the first of their
     class by doc_id and line; copy_of: the doc_ids that hold the firsts of what is removed. Lines of under MIN_WORDS
     words aren't paragraphs. n_passages: runs of words cut from the rest since they repeat earlier windows of
-    passages.WINDOW words, in any lines; passage_chars: what they take. Null and empty texts have zeros. Rows of the
+    passages.WINDOW words, in any lines; passage_chars: what they take; cut_chars: removed_chars and passage_chars. Null and empty texts have zeros. Rows of the
     same doc_id and text are one document.
     """
     own = keyed(docs.select("doc_id", "text"))
@@ -285,12 +288,17 @@ def summary(docs: DataFrame) -> DataFrame:
         F.sort_array(F.array_union(F.coalesce("copy_of", none), F.coalesce("sources", none))).alias("copy_of"),
         F.coalesce("n_passages", zero).alias("n_passages"),
         F.coalesce("passage_chars", zero).alias("passage_chars"),
+        (F.coalesce(F.aggregate("gone", zero, lambda a, x: a + x["chars"]), zero) + F.coalesce("passage_chars", zero)).alias("cut_chars"),
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with repeated paragraphs cut from text, then repeated passages; a text that loses nothing stays as it is, byte for byte."""
-    own = keyed(docs)
+    """docs with repeated paragraphs cut from text, then repeated passages; a text that loses nothing stays as it is, byte for byte.
+
+    Null and empty texts stay, and so do repeated rows: rows that share doc_id and text lose the same. The first of
+    equal passages is that of the smallest doc_id (null before all), then the least text hash and place.
+    """
+    own = keyed(packed(docs))
     rest = materialize(_without_lines(own, repeats(own.select("dk", "th", "text"))), "paragraph-rest")
     cut = passages.without(rest, passages.repeats(rest)).select("dk", "th", F.col("text").alias("_cut"))
-    return rest.join(cut, ["dk", "th"], "left").withColumn("text", F.coalesce("_cut", "text")).select(*docs.columns)
+    return unpacked(rest.join(cut, ["dk", "th"], "left").withColumn("text", F.coalesce("_cut", "text")), docs.columns)

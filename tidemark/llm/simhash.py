@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, components, materialize, pieces
+from .common import LOWER, UPPER, components, materialize, packed, pieces, unpacked
 
 #: A-Z to a-z, and every white-space byte to a space.
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\n\x0b\x0c\r", LOWER.encode() + b"     ")
@@ -82,9 +82,9 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 def deduplicate(docs: DataFrame, size: int = 3) -> DataFrame:
     """The rows of docs, one of each component: that of the smallest doc_id (of rows that share it, the one with the least text hash)."""
     keep = near_duplicates(docs, size).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
+    kept = packed(docs).join(keep, "doc_id", "left_semi")
     again = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
     # Only ids that occur more than once are numbered, so the texts of the rest are not sorted.
     once = kept.join(again, "doc_id", "left_anti")
     twice = kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1").drop("_n")
-    return once.unionByName(twice)
+    return unpacked(once.unionByName(twice), docs.columns)
