@@ -22,10 +22,10 @@ def joined(schema: SchemaGraph, tables: dict[str, DataFrame], spec: QuerySpec) -
     return tree_join(schema, own, spec.edges)
 
 
-def run(schema: SchemaGraph, tables: dict[str, DataFrame], spec: QuerySpec, name: str = "value", scenario: WhatIf | None = None) -> DataFrame:
-    """The groups and the aggregate (as `name`); ORDER BY and LIMIT apply. With a scenario, counts and sums are reweighted."""
-    rows = joined(schema, tables, spec)
-    groups = [F.col(f"{t}__{c}").alias(c) for t, c in spec.groups]
+def run(schema: SchemaGraph, tables: dict[str, DataFrame], spec: QuerySpec, name: str | None = None, scenario: WhatIf | None = None) -> DataFrame:
+    """The groups and the aggregate (as `name`, else as the query names it); ORDER BY and LIMIT apply. With a scenario, counts and sums are reweighted."""
+    rows, name = joined(schema, tables, spec), name or spec.value
+    groups = [F.col(f"{t}__{c}").alias(n) for (t, c), n in zip(spec.groups, spec.group_names, strict=True)]
     if scenario is None:
         agg = aggregate_column(spec)
     else:
@@ -38,11 +38,16 @@ def run(schema: SchemaGraph, tables: dict[str, DataFrame], spec: QuerySpec, name
             x = F.lit(1.0)
             for f in a.factors if a.op != "COUNT" else ():
                 x = x * F.col("__".join(f))
+            if a.op == "COUNT" and a.factors:  # rows in which the product isn't null
+                x = F.lit(1.0)
+                for f in a.factors:
+                    x = F.when(F.col("__".join(f)).isNotNull(), x)
             c = F.sum(x * w) if a.op != "AVG" else F.sum(x * w) / F.sum(F.when(x.isNotNull(), w))
             agg = a.sign * c if agg is None else agg + a.sign * c
     out = rows.groupBy(*groups).agg(agg.alias(name)) if groups else rows.agg(agg.alias(name))
     if spec.order:
-        out = out.orderBy(*[F.desc(c.split(".")[-1]) if down else F.asc(c.split(".")[-1]) for c, down in spec.order])
+        shown = {spec.value: name}
+        out = out.orderBy(*[F.desc(shown.get(c, c)) if down else F.asc(shown.get(c, c)) for c, down in spec.order])
     return out.limit(spec.limit) if spec.limit is not None else out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FkEdge, SchemaGraph
@@ -71,9 +71,55 @@ def start_table(schema: SchemaGraph, names: set[str], edges: list[FkEdge]) -> st
     return sampled[0] if sampled else max(sorted(names), key=lambda t: sum(e.parent == t for e in edges))
 
 
+def chosen(key: list[str], rate: float, seed: int = 17) -> Column:
+    """Whether a row is in a sample of `rate`, by 63 bits of the hash of its key: rates of one in billions still hold."""
+    return F.xxhash64(*key, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1)) < F.lit(min((1 << 63) - 1, int(rate * (1 << 63))))
+
+
 def hash_sample(df: DataFrame, key: list[str], rate: float, seed: int = 17) -> DataFrame:
     """Rows by the hash of their key: the same rows however the table is partitioned."""
-    return df.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return df if rate >= 1 else df.where(chosen(key, rate, seed))
+
+
+def rounded(x: Column, key: list[str], seed: int = 17) -> Column:
+    """x to the whole number below or above, above as often as its fraction says; the same for the same key."""
+    return F.floor(x + F.xxhash64(*key, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).cast("long")
+
+
+def table_sample(df: DataFrame, percent: float, seed: int = 17) -> DataFrame:
+    """TABLESAMPLE (percent) REPEATABLE (seed)."""
+    return df.sample(False, percent / 100, seed)
+
+
+def two_stage_sample(schema: SchemaGraph, tables: dict[str, DataFrame], edges: list[FkEdge], n: int, estimate: float, factor: float = 1.5, cap: int | None = None, seed: int = 17) -> DataFrame:
+    """About n rows of the full outer join along edges: rows of the start table at `factor` times the rate that the estimated
+    size asks for, joined, then exactly n rows (all, if fewer) of the least hashes. cap: rows of a step's result at most.
+
+    Rows that no row of the start table leads to are left out, as are those that the rate drops.
+    """
+    start = start_table(schema, {t for e in edges for t in (e.child, e.parent)}, edges)
+    own, rate = dict(tables), min(1.0, factor * n / max(1.0, estimate))
+    own[start] = hash_sample(tables[start], list(schema.tables[start].key), rate, seed)
+    out, seen, left = qualified(own[start], start), {start}, list(edges)
+    while left:
+        e = next(e for e in left if e.child in seen or e.parent in seen)
+        fresh = e.parent if e.child in seen else e.child
+        out = out.join(qualified(own[fresh], fresh), F.col(f"{e.child}__{e.fk}") == F.col(f"{e.parent}__{e.pk}"), "left")
+        if cap is not None:
+            out = out.orderBy(F.xxhash64(*out.columns, F.lit(seed))).limit(cap)
+        seen.add(fresh)
+        left.remove(e)
+    return exact_sample(out, out.columns, n, seed)
+
+
+def key_tables(edges: Iterable[FkEdge]) -> set[tuple[str, str]]:
+    """The tables that each edge links."""
+    return {(e.child, e.parent) for e in edges}
+
+
+def pair_filter(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The combinations of values that occur: group tuples that a model crosses are kept by a left semi join with it."""
+    return df.select(*columns).distinct()
 
 
 def exact_sample(df: DataFrame, key: list[str], n: int, seed: int = 17) -> DataFrame:
@@ -95,7 +141,7 @@ def consistent_sample(sample: DataFrame, neighbour: DataFrame, on: tuple[str, st
 
 def split_by_share(df: DataFrame, key: list[str], share: float) -> tuple[DataFrame, DataFrame]:
     """A part to learn from and the later `share` of rows, by hash."""
-    late = F.pmod(F.xxhash64(*key, F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000)
+    late = chosen(key, share, 29)
     return df.where(~late), df.where(late)
 
 

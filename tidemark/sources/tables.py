@@ -19,9 +19,12 @@ def read_parquet(spark: SparkSession, sf_dir: str, spec: TableSpec | str) -> Dat
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, spec: TableSpec, separator: str = ",") -> DataFrame:
-    """A file without header, with quotes and backslash escapes; columns declared irrelevant are not read."""
-    df = spark.read.schema(schema).option("sep", separator).option("escape", "\\").option("quote", '"').option("header", False).csv(path)
-    return df.drop(*spec.irrelevant)
+    """A file without header, with quotes and backslash escapes; columns are named table.column, those declared irrelevant left out.
+
+    What isn't a number in a numeric column is null.
+    """
+    df = spark.read.schema(schema).option("sep", separator).option("escape", "\\").option("quote", '"').option("header", False).option("mode", "PERMISSIVE").csv(path)
+    return df.select(*[F.col(f"`{c}`").alias(f"{spec.name}.{c}") for c in df.columns if c not in spec.irrelevant])
 
 
 def read_jdbc(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None) -> DataFrame:
@@ -42,16 +45,30 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).selectExpr("CAST(query_no AS INT) AS query_no", "query", "CAST(cardinality_true AS DOUBLE) AS cardinality_true")
 
 
+def write_truth(spark: SparkSession, rows: list[tuple[int, str, float, float]], path: str) -> None:
+    """Results of queries with the seconds they took: (query_no, query, cardinality_true, seconds)."""
+    spark.createDataFrame(rows, "query_no int, query string, cardinality_true double, seconds double").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_scores(spark: SparkSession, scores: dict[tuple[str, str], float], path: str) -> None:
+    spark.createDataFrame([(a, b, float(x)) for (a, b), x in scores.items()], "col_a string, col_b string, rdc double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> dict[tuple[str, str], float]:
+    """Dependence by pair of columns, in both orders."""
+    return {k: r["rdc"] for r in spark.read.parquet(path).collect() for k in ((r["col_a"], r["col_b"]), (r["col_b"], r["col_a"]))}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_prepared(df: DataFrame, path: str, most: int | None = None, key: str | None = None) -> None:
-    """A prepared table as Parquet; with `most`, a sample of about so many rows by the hash of the key."""
+    """A prepared table as Parquet; with `most`, so many rows at most, those of the least hashes of the key."""
     if most is not None:
         n = df.count()
         if n > most:
-            df = df.where(F.pmod(F.xxhash64(key or df.columns[0]), F.lit(1_000_000)) < int(1_000_000 * most / n))
+            df = df.orderBy(F.xxhash64(key or df.columns[0]), *df.columns[:1]).limit(most)
     df.write.mode("overwrite").parquet(path)
 
 
