@@ -8,16 +8,20 @@ from __future__ import annotations
 
 import json
 import math
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import exact_sample, hash_sample
+from ..sources.tables import held
 from .query import Range
 
-#: Distinct numbers of a column in the sample from which on its values are binned, and the bins.
-MAX_VALUES, BINS = 1_000, 400
+#: Distinct numbers of a column from which on its values are binned, and the bins; distinct strings beyond which a column isn't modelled.
+MAX_VALUES, BINS, MAX_STRINGS = 10_000, 10_000, 10_000
 
 
 @dataclass
@@ -46,10 +50,11 @@ class Columns:
     middle: dict[str, float]
     scale: dict[str, float]
     step: dict[str, float]
+    kinds: dict[str, str] = field(default_factory=dict)  # the tables' types
 
     @staticmethod
     def of(sample) -> Columns:
-        names, codes, middle, scale, step = list(sample.columns), {}, {}, {}, {}
+        names, codes, middle, scale = list(sample.columns), {}, {}, {}
         for c in names:
             col = sample[c].dropna()
             if col.dtype == object:
@@ -58,9 +63,7 @@ class Columns:
             col = col.astype(float)
             middle[c] = float(col.mean()) if len(col) else 0.0
             scale[c] = float(col.std(ddof=0)) or 1.0 if len(col) else 1.0
-            if c not in codes and col.nunique() > MAX_VALUES:
-                step[c] = float((col.max() - col.min()) / BINS)
-        return Columns(names, codes, middle, scale, step)
+        return Columns(names, codes, middle, scale, {})
 
     def matrix(self, sample) -> np.ndarray:
         out = np.zeros((len(sample), len(self.names)))
@@ -139,7 +142,26 @@ def two_means(m: np.ndarray, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
     return best[1], best[2]
 
 
-def structure(m: np.ndarray, names: list[str], least: int, threshold: float = 0.3, first: bool = True, split_rows: bool = True) -> Node:
+def two_gaussians(m: np.ndarray, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """As two_means, with the means of a mixture of two Gaussians of diagonal covariance."""
+    _, c = two_means(m, seed)
+    var, share = np.stack([m.var(0) + 1e-6] * 2), np.array([0.5, 0.5])
+    for _ in range(30):
+        far = np.stack([((m - c[k]) ** 2 / var[k] + np.log(var[k])).sum(1) / 2 - np.log(share[k]) for k in (0, 1)])
+        w = np.exp(far.min(0) - far)
+        w /= w.sum(0)
+        total = np.maximum(w.sum(1), 1e-9)
+        c = (w @ m) / total[:, None]
+        var = np.stack([(w[k][:, None] * (m - c[k]) ** 2).sum(0) / total[k] for k in (0, 1)]) + 1e-6
+        share = np.maximum(total / len(m), 1e-9)
+    return (((m - c[0]) ** 2).sum(1) > ((m - c[1]) ** 2).sum(1)).astype(int), c
+
+
+#: How rows are split in two.
+SPLITTERS = {"kmeans": two_means, "gmm": two_gaussians}
+
+
+def structure(m: np.ndarray, names: list[str], least: int, threshold: float = 0.3, first: bool = True, split_rows: bool = True, rows: str = "kmeans") -> Node:
     """One column: a leaf. Constant columns become leaves apart. Few rows: independent leaves. Else columns are split by
     dependence or rows by two means, rows first at the root."""
     scope = tuple(names)
@@ -152,17 +174,17 @@ def structure(m: np.ndarray, names: list[str], least: int, threshold: float = 0.
     if constant.any():
         rest = [i for i in range(len(names)) if not constant[i]]
         kids = [Node("leaf", (names[i],)) for i in np.flatnonzero(constant)]
-        return Node("product", scope, [*kids, structure(m[:, rest], [names[i] for i in rest], least, threshold, first, split_rows)])
+        return Node("product", scope, [*kids, structure(m[:, rest], [names[i] for i in rest], least, threshold, first, split_rows, rows)])
     if not first or not split_rows:
         parts = groups_of(rdc_matrix(m), threshold)
         if len(parts) > 1:
-            return Node("product", scope, [structure(m[:, p], [names[i] for i in p], least, threshold, False) for p in parts])
+            return Node("product", scope, [structure(m[:, p], [names[i] for i in p], least, threshold, False, True, rows) for p in parts])
         if not split_rows:
             return naive()
-    which, centres = two_means(m)
+    which, centres = SPLITTERS[rows](m)
     if which.min() == which.max():
-        return structure(m, names, least, threshold, False, False)
-    kids = [structure(m[which == k], names, least, threshold, False) for k in (0, 1)]
+        return structure(m, names, least, threshold, False, False, rows)
+    kids = [structure(m[which == k], names, least, threshold, False, True, rows) for k in (0, 1)]
     return Node("sum", scope, kids, centres.tolist())
 
 
@@ -204,6 +226,7 @@ class Model:
     size: float = 0.0
     sample_size: float = 0.0
     threshold: float = 0.3
+    seconds: float = 0.0  # that learning took
 
     def scope(self) -> set[str]:
         return set(self.root.scope)
@@ -318,22 +341,43 @@ def absorb(model: Model, counts: list[tuple[int, str | None, float]], reset: boo
     return model
 
 
-def learn(df: DataFrame, names: list[str], key: list[str], sample_rows: int = 20_000, threshold: float = 0.3, least_share: float = 0.01, tables: frozenset[str] = frozenset(), edges: tuple = ()) -> Model:
-    """A model of the chosen columns: structure from at most `sample_rows` rows by hash of key, counts from all rows."""
-    typed = df.select(*key, *[c for c in names if c not in key]) if key else df.select(*names)
-    flat = flattened(typed)
-    n = flat.count()
-    share = min(1.0, sample_rows / max(1, n))
-    part = flat if share == 1.0 else flat.where(F.pmod(F.xxhash64(*(key or names)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = part.select(*names).toPandas().sort_values(names, ignore_index=True)
+def learn(df: DataFrame, names: list[str], key: list[str], sample_rows: int = 20_000, threshold: float = 0.3, least_share: float = 0.01, tables: frozenset[str] = frozenset(), edges: tuple = (), rows: str = "kmeans") -> Model:
+    """A model of the chosen columns: structure from about `sample_rows` rows by hash of key, counts from all rows.
+
+    df is evaluated once. Columns without values and strings of over MAX_STRINGS values are left out; numbers of over
+    MAX_VALUES values are binned over their whole range.
+    """
+    began, typed = time.perf_counter(), df.select(*key, *[c for c in names if c not in key]) if key else df.select(*names)
+    flat = held(flattened(typed))
+    kinds = {c: typed.schema[c].dataType.simpleString() for c in names}
+    strings = {c for c in names if kinds[c] == "string"}
+    facts = flat.agg(F.count("*").alias("n"), *[x for i, c in enumerate(names) for x in (F.approx_count_distinct(c).alias(f"d{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"))]).first()
+    n, seen = facts["n"], {c: (facts[f"d{i}"], facts[f"l{i}"], facts[f"h{i}"]) for i, c in enumerate(names)}
+    names = [c for c in names if not n or (seen[c][1] is not None and not (c in strings and seen[c][0] > MAX_STRINGS))]
+    part = hash_sample(flat, key or names, min(1.0, sample_rows / max(1, n)))
+    sample = part.select(*names).toPandas()
+    if n and not len(sample):
+        sample = exact_sample(flat, key or names, min(n, sample_rows)).select(*names).toPandas()
+    sample = sample.sort_values(names, ignore_index=True) if names else sample
     for c in names:
-        if sample[c].dtype != object:
+        if sample[c].dtype != object or c not in strings:
             sample[c] = sample[c].astype(float)
     columns = Columns.of(sample)
-    root = number_nodes(prune(structure(columns.matrix(sample), names, max(2, int(least_share * len(sample))), threshold))) if len(sample) else number_nodes(Node("product", tuple(names), [Node("leaf", (c,)) for c in names]))
+    columns.kinds = {c: kinds[c] for c in names}
+    columns.step = {c: (float(seen[c][2]) - float(seen[c][1])) / BINS for c in names if c not in strings and seen[c][0] > MAX_VALUES}
+    root = number_nodes(prune(structure(columns.matrix(sample), names, max(2, int(least_share * len(sample))), threshold, rows=rows))) if len(sample) else number_nodes(Node("product", tuple(names), [Node("leaf", (c,)) for c in names]))
     check(root)
     model = Model(root, columns, tables, edges, threshold=threshold, sample_size=float(len(sample)))
-    return absorb(model, [tuple(r) for r in leaf_counts(flat, model).collect()], reset=True)
+    absorb(model, collected(leaf_counts(flat, model)), reset=True)
+    flat.unpersist()
+    model.seconds = time.perf_counter() - began
+    return model
+
+
+def collected(counts: DataFrame) -> list[tuple[int, str | None, float]]:
+    """(leaf, value, n) on the driver: at most MAX_VALUES or MAX_STRINGS rows a leaf."""
+    found = counts.toArrow()
+    return list(zip(*(found.column(c).to_pylist() for c in ("leaf", "value", "n")), strict=True))
 
 
 # --- inference -------------------------------------------------------------------------------------------------------
@@ -363,9 +407,14 @@ def _leaf(n: Node, r: Range | None, power: float | None) -> float:
         return float((c * np.power(v.astype(float), power)).sum()) / n.total if len(v) else 0.0
 
 
-def expectation(n: Node, where: dict[str, Range], powers: dict[str, float] | None = None) -> float:
-    """E[1(where) * product of column**power]; columns in powers count only where they aren't null."""
+def expectation(n: Node, where: dict[str, Range], powers: dict[str, float] | None = None, functions: dict[str, Callable] | None = None) -> float:
+    """E[1(where) * product of column**power]; columns in powers count only where they aren't null.
+
+    functions: by kind of node, what to use instead: f(node, where, powers, of a child).
+    """
     powers = powers or {}
+    if functions and n.kind in functions:
+        return functions[n.kind](n, where, powers, lambda c: expectation(c, where, powers, functions))
     if not any(c in where or c in powers for c in n.scope):
         return 1.0
     if n.kind == "leaf":
@@ -373,12 +422,54 @@ def expectation(n: Node, where: dict[str, Range], powers: dict[str, float] | Non
     if n.kind == "product":
         out = 1.0
         for c in n.children:
-            out *= expectation(c, where, powers)
+            out *= expectation(c, where, powers, functions)
             if out == 0:
                 return 0.0
         return out
     total = sum(c.total for c in n.children)
-    return sum(c.total * expectation(c, where, powers) for c in n.children) / total if total else 0.0
+    return sum(c.total * expectation(c, where, powers, functions) for c in n.children) / total if total else 0.0
+
+
+#: Of a grouped column: for each group which of the value sets it has, and the sets (None: null).
+Keys = dict[str, tuple[np.ndarray, list[tuple]]]
+
+
+def batch_expectation(n: Node, where: dict[str, Range], powers: dict[str, float], keys: Keys) -> np.ndarray | float:
+    """expectation() of all groups at once: an array over groups, or one number where nothing depends on the group."""
+    if not any(c in keys for c in n.scope):
+        return expectation(n, where, powers)
+    if n.kind == "leaf":
+        (c,) = n.scope
+        which, sets = keys[c]
+        r, power = where.get(c), powers.get(c)
+        held = dict(zip(n.values.tolist(), n.counts.tolist(), strict=True))
+
+        def mass(v: object) -> float:
+            if v is None:
+                return n.null_count if power is None and (r is None or not r.not_null) else 0.0
+            if v not in held or (r is not None and not r.allows(v)):
+                return 0.0
+            return held[v] if power is None else held[v] * float(v) ** power
+
+        return np.array([sum(map(mass, s)) for s in sets])[which] / max(n.total, 1e-300)
+    if n.kind == "product":
+        out = 1.0
+        for c in n.children:
+            if any(k in where or k in powers or k in keys for k in c.scope):
+                out = out * batch_expectation(c, where, powers, keys)
+        return out
+    total = sum(c.total for c in n.children)
+    return sum(c.total * batch_expectation(c, where, powers, keys) for c in n.children) / total if total else 0.0
+
+
+def batch_moments(m: Model, where: dict[str, Range], powers: dict[str, float], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """moments() of all groups at once."""
+    e, n = np.asarray(batch_expectation(m.root, where, powers, keys)), max(1.0, m.sample_size or m.size)
+    if not powers:
+        p = np.clip(e, 0, 1)
+        return e, np.sqrt(p * (1 - p) / n)
+    square = batch_expectation(m.root, where, {c: 2 * k for c, k in powers.items()}, keys)
+    return e, np.sqrt(np.maximum(0.0, square - e * e) / n)
 
 
 def moments(m: Model, where: dict[str, Range], powers: dict[str, float] | None = None) -> tuple[float, float]:
@@ -392,7 +483,7 @@ def moments(m: Model, where: dict[str, Range], powers: dict[str, float] | None =
     return e, math.sqrt(max(0.0, square - e * e) / n)
 
 
-def distinct(n: Node, columns: list[str], where: dict[str, Range], most: int = 100_000) -> list[tuple]:
+def distinct(n: Node, columns: list[str], where: dict[str, Range], most: int = 1_000_000) -> list[tuple]:
     """The value tuples of columns that the model holds under the conditions: products cross, sums unite."""
     own = [c for c in columns if c in n.scope]
     if expectation(n, {k: v for k, v in where.items() if k in n.scope}) == 0:
@@ -409,7 +500,7 @@ def distinct(n: Node, columns: list[str], where: dict[str, Range], most: int = 1
         if some:
             part = distinct(c, some, where, most)
             if len(out) * len(part) > most:
-                raise ValueError(f"over {most} groups")
+                raise ValueError(f"over {most} groups: exact.run answers the query without holding them on the driver")
             out = [{**d, **dict(zip(some, t, strict=True))} for d in out for t in part]
         elif expectation(c, {k: v for k, v in where.items() if k in c.scope}) == 0:
             return []
@@ -448,7 +539,7 @@ def save(spark: SparkSession, models: list[Model], path: str) -> None:
     heads, rows = [], []
     for k, m in enumerate(models):
         parent = {c.id: n.id for n in m.root.nodes() for c in n.children}
-        meta = {"columns": vars(m.columns), "tables": sorted(m.tables), "edges": [list(vars(e).values()) for e in m.edges], "size": m.size, "sample_size": m.sample_size, "threshold": m.threshold}
+        meta = {"columns": vars(m.columns), "tables": sorted(m.tables), "edges": [list(vars(e).values()) for e in m.edges], "size": m.size, "sample_size": m.sample_size, "threshold": m.threshold, "seconds": m.seconds}
         nodes = [{"id": n.id, "kind": n.kind, "scope": n.scope, "centres": n.centres, "parent": parent.get(n.id), "null_count": n.null_count} for n in m.root.nodes()]
         heads.append((k, json.dumps(meta), json.dumps(nodes)))
         rows += [(k, n.id, str(v), float(c)) for n in m.root.nodes() if n.kind == "leaf" for v, c in zip(n.values.tolist(), n.counts.tolist(), strict=True)]
@@ -474,7 +565,7 @@ def load(spark: SparkSession, *paths: str) -> list[Model]:
                     root = nodes[s["id"]]
                 else:
                     nodes[s["parent"]].children.append(nodes[s["id"]])
-            m = Model(root, Columns(**meta["columns"]), frozenset(meta["tables"]), tuple(FkEdge(*e) for e in meta["edges"]), threshold=meta["threshold"], sample_size=meta["sample_size"])
+            m = Model(root, Columns(**meta["columns"]), frozenset(meta["tables"]), tuple(FkEdge(*e) for e in meta["edges"]), threshold=meta["threshold"], sample_size=meta["sample_size"], seconds=meta["seconds"])
             nulls = [(s["id"], None, s["null_count"]) for s in specs if s["null_count"]]
             out.append(absorb(m, [*leaves.get(r["model"], []), *nulls], reset=True))
     return out
@@ -483,5 +574,5 @@ def load(spark: SparkSession, *paths: str) -> list[Model]:
 def statistics(spark: SparkSession, models: list[Model]) -> DataFrame:
     """One row a model: tables, columns, nodes, depth, sample."""
     depth = lambda n: 1 + max((depth(c) for c in n.children), default=0)
-    rows = [(i, ",".join(sorted(m.tables)), len(m.root.scope), len(m.root.nodes()), sum(n.kind == "sum" for n in m.root.nodes()), sum(n.kind == "leaf" for n in m.root.nodes()), depth(m.root), m.sample_size, m.size, m.threshold) for i, m in enumerate(models)]
-    return spark.createDataFrame(rows, "model int, tables string, n_columns int, n_nodes int, n_sums int, n_leaves int, depth int, sample_size double, size double, threshold double")
+    rows = [(i, ",".join(sorted(m.tables)), len(m.root.scope), len(m.root.nodes()), sum(n.kind == "sum" for n in m.root.nodes()), sum(n.kind == "leaf" for n in m.root.nodes()), depth(m.root), m.sample_size, m.size, m.threshold, m.seconds) for i, m in enumerate(models)]
+    return spark.createDataFrame(rows, "model int, tables string, n_columns int, n_nodes int, n_sums int, n_leaves int, depth int, sample_size double, size double, threshold double, seconds double")

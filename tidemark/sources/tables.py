@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +20,17 @@ def read_parquet(spark: SparkSession, sf_dir: str, spec: TableSpec | str) -> Dat
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, evaluated once: as a table in the folder that the cluster names in spark.checkpoint.dir, else on the executors' disks."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df.persist(StorageLevel.DISK_ONLY)
+    path = f"{folder.rstrip('/')}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType, spec: TableSpec, separator: str = ",") -> DataFrame:
     """A file without header, with quotes and backslash escapes; columns are named table.column, those declared irrelevant left out.
 
