@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,9 @@ def run(schema: SchemaGraph, tables: dict[str, DataFrame], spec: QuerySpec, name
                     x = F.when(F.col("__".join(f)).isNotNull(), x)
             c = F.sum(x * w) if a.op != "AVG" else F.sum(x * w) / F.sum(F.when(x.isNotNull(), w))
             agg = a.sign * c if agg is None else agg + a.sign * c
+    rate = math.prod(schema.tables[t].sample_rate for t in spec.tables)
+    if rate != 1 and not any(a.op == "AVG" for a in spec.aggregates):  # rows of samples stand for more
+        agg = agg / F.lit(rate)
     out = rows.groupBy(*groups).agg(agg.alias(name)) if groups else rows.agg(agg.alias(name))
     if spec.order:
         shown = {spec.value: name}

@@ -51,8 +51,11 @@ def full_outer(schema: SchemaGraph, tables: dict[str, DataFrame], edges: list[Fk
     return out
 
 
-def size_estimate(schema: SchemaGraph, sizes: dict[str, float], means: dict[str, float], edges: list[FkEdge], start: str | None = None) -> float:
-    """The join's size from table sizes and mean multipliers: each one-to-many step multiplies, each many-to-one keeps."""
+def size_estimate(schema: SchemaGraph, sizes: dict[str, float], means: dict[str, float], edges: list[FkEdge], start: str | None = None, unmatched: dict[str, float] | None = None) -> float:
+    """The full join's size from table sizes and mean multipliers: each one-to-many step multiplies, each many-to-one keeps.
+
+    unmatched: by edge, rows of the side that the step adds without a partner; they come on top.
+    """
     steps = schema.tree(edges)
     start = start or (steps[0].child if steps else next(iter(sizes)))
     seen, size, left = {start}, sizes[start], list(steps)
@@ -60,6 +63,7 @@ def size_estimate(schema: SchemaGraph, sizes: dict[str, float], means: dict[str,
         e = next(e for e in left if e.child in seen or e.parent in seen)
         if e.parent in seen:
             size *= means[e.id]
+        size += (unmatched or {}).get(e.id, 0.0)
         seen |= {e.child, e.parent}
         left.remove(e)
     return size

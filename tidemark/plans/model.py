@@ -531,6 +531,20 @@ def probability_column(n: Node, tests: dict[str, callable]) -> Column:
     return out
 
 
+def cumulative(n: Node) -> list[tuple[object, float]]:
+    """A leaf's values with the share of rows up to each, of those that aren't null."""
+    total = float(n.counts.sum())
+    return [(v, float(c) / total) for v, c in zip(n.values.tolist(), np.cumsum(n.counts), strict=True)] if total else []
+
+
+def leaf_moments(n: Node) -> dict[str, float]:
+    """Means of x, x**2, 1/x and 1/x**2 over a numeric leaf's values that aren't null, inverses over those that aren't 0."""
+    v, c = n.values.astype(float), n.counts
+    real = v != 0
+    mean = lambda x, w: float((x * w).sum() / w.sum()) if w.sum() else math.nan
+    return {"mean": mean(v, c), "mean_square": mean(v * v, c), "mean_inverse": mean(1 / v[real], c[real]), "mean_inverse_square": mean(1 / v[real] ** 2, c[real])}
+
+
 # --- storage ---------------------------------------------------------------------------------------------------------
 
 
