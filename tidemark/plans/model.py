@@ -51,6 +51,7 @@ class Columns:
     scale: dict[str, float]
     step: dict[str, float]
     kinds: dict[str, str] = field(default_factory=dict)  # the tables' types
+    never_null: list[str] = field(default_factory=list)  # null only where a join has no row of the table
 
     @staticmethod
     def of(sample) -> Columns:
@@ -351,7 +352,8 @@ def learn(df: DataFrame, names: list[str], key: list[str], sample_rows: int = 20
     flat = held(flattened(typed))
     kinds = {c: typed.schema[c].dataType.simpleString() for c in names}
     strings = {c for c in names if kinds[c] == "string"}
-    facts = flat.agg(F.count("*").alias("n"), *[x for i, c in enumerate(names) for x in (F.approx_count_distinct(c).alias(f"d{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"))]).first()
+    present = lambda c: F.col(f"{c.split('__')[0]}__nn") == 1 if f"{c.split('__')[0]}__nn" in flat.columns else F.lit(True)
+    facts = flat.agg(F.count("*").alias("n"), *[x for i, c in enumerate(names) for x in (F.approx_count_distinct(c).alias(f"d{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"), F.count_if(F.col(c).isNull() & present(c)).alias(f"z{i}"))]).first()
     n, seen = facts["n"], {c: (facts[f"d{i}"], facts[f"l{i}"], facts[f"h{i}"]) for i, c in enumerate(names)}
     names = [c for c in names if not n or (seen[c][1] is not None and not (c in strings and seen[c][0] > MAX_STRINGS))]
     part = hash_sample(flat, key or names, min(1.0, sample_rows / max(1, n)))
@@ -363,7 +365,7 @@ def learn(df: DataFrame, names: list[str], key: list[str], sample_rows: int = 20
         if sample[c].dtype != object or c not in strings:
             sample[c] = sample[c].astype(float)
     columns = Columns.of(sample)
-    columns.kinds = {c: kinds[c] for c in names}
+    columns.kinds, columns.never_null = {c: kinds[c] for c in names}, [c for i, c in enumerate(seen) if c in names and not facts[f"z{i}"]]
     columns.step = {c: (float(seen[c][2]) - float(seen[c][1])) / BINS for c in names if c not in strings and seen[c][0] > MAX_VALUES}
     root = number_nodes(prune(structure(columns.matrix(sample), names, max(2, int(least_share * len(sample))), threshold, rows=rows))) if len(sample) else number_nodes(Node("product", tuple(names), [Node("leaf", (c,)) for c in names]))
     check(root)
