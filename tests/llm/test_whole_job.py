@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_documents, paragraph_dedup, passages
+from tidemark.llm.common import components, materialize
 
 
 def words(rng, n):
@@ -24,10 +25,26 @@ def test_crowded_bucket_links_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(paragraph_dedup, "BLOCK", block)
         monkeypatch.setattr(paragraph_dedup, "BUCKET", bucket)
         monkeypatch.setattr(paragraph_dedup, "SHARED", shared)
-        got = paragraph_dedup.links(buckets, lambda asked: paragraph_dedup.shingle_sets(df.join(asked, "lh"))).collect()
+        members = materialize(paragraph_dedup.in_buckets(buckets), "members")
+        got = paragraph_dedup.links(members, lambda asked: paragraph_dedup.shingle_sets(df.join(asked, "lh"))).collect()
         assert {(min(r), max(r)) for r in got} == {(i, i + 40) for i in range(40)}
 
 
+def test_chain_of_near_copies_is_one_class(spark, monkeypatch):
+    """Links between the same classes are handed on once, and still join all that the links of all pairs join."""
+    rng = random.Random(2)
+    base = words(rng, 100)
+    texts = [" ".join([f"x{i}" if k == 8 * i % 96 else w for k, w in enumerate(base)]) for i in range(60)] + [" ".join(words(rng, 100)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "lh long, line string")
+    monkeypatch.setattr(paragraph_dedup, "BLOCK", 9)
+    members = materialize(paragraph_dedup.in_buckets(df.select(F.lit(7).cast("long").alias("bk"), "lh")), "members")
+    got = paragraph_dedup.links(members, lambda asked: paragraph_dedup.shingle_sets(df.join(asked, "lh")))
+    sets = [set(paragraph_dedup.shingles(t)) for t in texts]
+    near = [(i, j) for i in range(80) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want, found = (dict((r["node"], r["component"]) for r in components(x).collect()) for x in (spark.createDataFrame(near, "a long, b long"), got))
+    assert found == want and len(found) == 60
+
+
 def test_similar_pairs_are_all_pairs(monkeypatch):
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 12, 10)) for _ in range(60)]

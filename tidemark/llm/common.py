@@ -35,7 +35,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage ends and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Deletes what materialize() wrote, once all that was made of it is written itself."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def placed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """As materialize(), in buckets of the keys: joins on them deal out the other side alone."""
+    spark = df.sparkSession
+    n, short = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tidemark_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{short}"
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(short)
+    out = spark.table(short)
+    spark.sql(f"DROP TABLE {short}")  # the files stay: they were given a path of their own
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

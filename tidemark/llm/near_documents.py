@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, materialize, packed, unpacked
+from .common import components, materialize, packed, release, unpacked
 from .line_rules import blank
-from .paragraph_dedup import SHINGLE, bucketed, links, shingle_sets
+from .paragraph_dedup import SHINGLE, bucketed, by_band, in_buckets, links, shingle_sets
 
 
 def _near_prints(units: DataFrame) -> DataFrame:
@@ -41,7 +41,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     units = keyed.where("_th <> 0").select(F.col("_th").alias("lh"), F.col("text").alias("line"))
     buckets = materialize(bucketed(units), "near-buckets")
-    found = links(buckets, lambda asked: shingle_sets(texts_of(asked)), _near_prints(units))
+    members = materialize(in_buckets(by_band(buckets)), "near-members")
+    release(buckets)
+    found = links(members, lambda asked: shingle_sets(texts_of(asked)), _near_prints(units))
     classes = components(found).toDF("_th", "class")
     classed = keys.join(classes, "_th", "left").withColumn("class", F.coalesce("class", "_th"))
     first = classed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("f"))

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import LOWER, SPACES, UPPER, components, materialize, packed, pieces, unpacked
-from .line_rules import blank, n_of
+from .common import LOWER, UPPER, components, materialize, packed, pieces, placed, release, unpacked
 
 #: Paragraphs are lines of this many blanks-separated words or more.
 MIN_WORDS = 20
 SHINGLE, JACCARD = 5, 0.8
+KEYS = ["dk", "th"]
 #: 12 bands of 4 rows: paragraphs of similarity 0.8 meet with probability 0.998, of 0.9 with 0.99999.
 BANDS, ROWS = 12, 4
 #: The least of a bucket of more members is found by partial minima.
@@ -29,9 +29,11 @@ _MUL = _RNG.integers(1, 2**63, BANDS * ROWS).astype(np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, BANDS * ROWS).astype(np.uint64)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> list[int]:
-    """Hashes of the word shingles of text, repeats included; a text of fewer words is one shingle."""
+def shingles(text: str | None, size: int = SHINGLE, least: int = 0) -> list[int] | None:
+    """Hashes of the word shingles of text, repeats included; a text of fewer words is one shingle. None under `least` words."""
     words = [w for w in (text or "").encode().translate(_FOLD).split(b" ") if w]
+    if len(words) < least:
+        return None
     if not words:
         return []
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
@@ -58,10 +60,38 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys.T
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(dk, th, idx, line): the paragraphs of every document."""
-    found = docs.select("dk", "th", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
-    return found.where((n_of(F.col("line"), SPACES) >= MIN_WORDS - 1) & ~blank(F.col("line")))
+def _scan(docs: DataFrame) -> DataFrame:
+    """(dk, th, idx, lh, chars, bands) for every paragraph: its place, a hash of it, its length, its bucket keys (null, if the same piece of work has told them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            row, idx, chars, hashes, starts = [], [], [], [], []
+            lh, seen, keyed_at = [], set(), []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for k, line in enumerate((text or "").split("\n")):
+                    # At least as many blanks as words need; then what lies between them is counted.
+                    if len(line) < 2 * MIN_WORDS - 1 or (found := shingles(line, SHINGLE, MIN_WORDS)) is None:
+                        continue
+                    h = xxhash.xxh64_intdigest(line.encode(), 42)
+                    if h not in seen:
+                        seen.add(h)
+                        keyed_at.append(len(lh))
+                        starts.append(len(hashes))
+                        hashes += found
+                    row.append(i)
+                    idx.append(k)
+                    chars.append(len(line))
+                    lh.append(h)
+            bands: list = [None] * len(lh)
+            if starts:
+                keys = band_keys(np.array(hashes, np.uint64), np.array(starts)).view(np.int64)
+                for i, x in zip(keyed_at, keys, strict=True):
+                    bands[i] = x
+            at = pa.array(row, pa.int64())
+            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(idx, pa.int32()), pa.array(np.array(lh, np.uint64).view(np.int64)), pa.array(chars, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["dk", "th", "idx", "lh", "chars", "bands"])
+
+    return docs.select("dk", "th", "text").mapInArrow(run, "dk long, th long, idx int, lh long, chars long, bands array<long>")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -70,7 +100,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def bucketed(lines: DataFrame) -> DataFrame:
-    """(bk, lh): every distinct paragraph's hash under each of its bucket keys."""
+    """(lh, bands): every distinct text's hash with its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "line"):
@@ -83,13 +113,19 @@ def bucketed(lines: DataFrame) -> DataFrame:
                     hashes += found
             if not ids:
                 continue
-            keys = band_keys(np.array(hashes, np.uint64), np.array(starts)).ravel().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["bk", "lh"])
+            keys = band_keys(np.array(hashes, np.uint64), np.array(starts)).view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), bands], names=["lh", "bands"])
+
+    return lines.select("lh", "line").mapInArrow(run, "lh long, bands array<long>")
+
 
-    return lines.select("lh", "line").mapInArrow(run, "bk long, lh long")
+def by_band(written: DataFrame) -> DataFrame:
+    """(bk, lh) of a table with lh and bands."""
+    return written.select(F.explode("bands").alias("bk"), "lh")
 
 
-def _members(buckets: DataFrame) -> DataFrame:
+def in_buckets(buckets: DataFrame) -> DataFrame:
     """(bk, lh, low): the members of buckets of two or more, with the least of the bucket."""
     # Every 64th member tells which buckets are large; either way gives the same rows.
     hot = buckets.where(F.pmod(F.xxhash64("lh", F.lit(5)), F.lit(64)) == 0).groupBy("bk").count().where(F.col("count") > BUCKET / 128).select("bk")
@@ -163,15 +199,29 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[t
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (bk, i, j, side, lh, class, sh) sorted by block (bk, i, j): links (a, b) from side 0 to side 1 across classes."""
+    """From rows (bk, i, j, side, lh, class, sh) sorted by block (bk, i, j): links (a, b) from side 0 to side 1 across classes.
+
+    All pairs of a block are compared; of links between the same classes, directly or over others, one is handed on.
+    """
     held: list[tuple[int, int, int, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         left, right = [x for x in held if x[0] == 0], [x for x in held if x[0] == 1]
         held.clear()
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
         if left and right:
             for a, b in similar_pairs([x[3] for x in left], [x[3] for x in right]):
-                found = [(left[i][1], right[j][1]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if left[i][2] != right[j][2]]
+                found = []
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    if (c := top(left[i][2])) != (d := top(right[j][2])):
+                        root[c] = d
+                        found.append((left[i][1], right[j][1]))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(2)], names=["a", "b"])
 
@@ -186,14 +236,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
+def links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of JACCARD or more that join all such pairs of a bucket, directly or over others; more: further pairs to verify.
 
     Every member is first compared with the least of its bucket. Where a bucket's members are in several classes after
     that, all its pairs across classes are compared, in blocks; the class with the most members need not meet itself.
-    sets_of gives (lh, sh) for a table of lh.
+    members is a written table of in_buckets(); sets_of gives (lh, sh) for a table of lh.
     """
-    members = materialize(_members(buckets), "paragraph-members")
     pairs = members.where("lh <> low").select(F.col("low").alias("a"), F.col("lh").alias("b"))
     pairs = materialize((pairs if more is None else pairs.union(more)).distinct(), "paragraph-pairs")
     sets = materialize(sets_of(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct()), "paragraph-sets")
@@ -216,7 +265,9 @@ def links(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], more: D
     dealt = left.union(right).join(sets, "lh").select("bk", "i", "j", "side", "lh", "class", "sh")
     block = ["bk", "i", "j"]
     across = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_blocks, "a long, b long")
-    return found.union(materialize(across.distinct(), "paragraph-across"))
+    across = materialize(across.distinct(), "paragraph-across")
+    release(members, pairs, sets)
+    return found.union(across)
 
 
 def _sets_of_lines(lines: DataFrame, docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -234,10 +285,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     class: the least paragraph hash among near-duplicates (links of JACCARD or more, closed over components);
     first: the place (dk, th, idx) of the class's first paragraph; n: the paragraphs in the class.
     """
-    found = _lines(docs).withColumn("lh", F.xxhash64("line"))
-    lines = materialize(found.select("dk", "th", "idx", "lh", F.length("line").cast("long").alias("chars")), "paragraph-lines")
-    buckets = materialize(bucketed(found), "paragraph-buckets")
-    classes = components(links(buckets, lambda asked: _sets_of_lines(lines, docs, asked))).toDF("lh", "class")
+    scan = materialize(_scan(docs), "paragraph-scan")
+    lines = materialize(scan.drop("bands"), "paragraph-lines")
+    members = materialize(in_buckets(by_band(scan)), "paragraph-members")
+    release(scan)
+    classes = components(links(members, lambda asked: _sets_of_lines(lines, docs, asked))).toDF("lh", "class")
     classed = materialize(lines.join(classes, "lh", "left").withColumn("class", F.coalesce("class", "lh")).drop("lh"), "paragraph-classes")
     place = F.struct("dk", "th", "idx")
     first = classed.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count_distinct("dk", "th", "idx").alias("n"))
@@ -266,9 +318,9 @@ def summary(docs: DataFrame) -> DataFrame:
     passages.WINDOW words, in any lines; passage_chars: what they take; cut_chars: removed_chars and passage_chars. Null and empty texts have zeros. Rows of the
     same doc_id and text are one document.
     """
-    own = keyed(docs.select("doc_id", "text"))
+    own = placed(keyed(docs.select("doc_id", "text")), KEYS, "paragraph-documents")
     found = materialize(repeats(own), "paragraph-repeats")
-    rest = materialize(_without_lines(own, found).select("dk", "th", "text"), "paragraph-rest")
+    rest = placed(_without_lines(own, found).select("dk", "th", "text"), KEYS, "paragraph-rest")
     cuts = passages.repeats(rest)
     cut = passages.without(rest, cuts).select("dk", "th", "n_passages", "passage_chars").join(cuts.select("dk", "th", "sources"), ["dk", "th"])
     copy = _is_copy()
@@ -298,7 +350,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Null and empty texts stay, and so do repeated rows: rows that share doc_id and text lose the same. The first of
     equal passages is that of the smallest doc_id (null before all), then the least text hash and place.
     """
-    own = keyed(packed(docs))
-    rest = materialize(_without_lines(own, repeats(own.select("dk", "th", "text"))), "paragraph-rest")
+    own = placed(keyed(packed(docs)), KEYS, "paragraph-documents")
+    rest = placed(_without_lines(own, repeats(own.select("dk", "th", "text"))), KEYS, "paragraph-rest")
     cut = passages.without(rest, passages.repeats(rest)).select("dk", "th", F.col("text").alias("_cut"))
     return unpacked(rest.join(cut, ["dk", "th"], "left").withColumn("text", F.coalesce("_cut", "text")), docs.columns)

@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, pieces
+from .common import LOWER, UPPER, materialize, pieces, release
 from .suffix_dedup import PLACE, _powers, merge, runs
 
 WINDOW, GRAM = 50, 25
+#: Parts that the windows of one hash are dealt to.
+SALTS = 16
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\n\x0b\x0c\r", LOWER.encode() + b"     ")
 _WORD = re.compile(rb"[^ ]+")
 _BLANKS = re.compile(rb"[ \t\x0b\x0c\r]*")
@@ -85,6 +87,21 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ws).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(ats))], names=["w", "dk", "th", "at"])
 
 
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (w, part, later, dk, th, at) sorted by w, part and later: the windows that follow their first place and don't overlap it."""
+    head = np.zeros((4, 1), np.int64)  # w, dk, th, at of the last first place; at start none
+    some = False
+    for batch in batches:
+        w, _, later, dk, th, at = (batch.column(i).to_numpy() for i in range(6))
+        first = np.flatnonzero(later == 0)
+        heads = np.concatenate((head, np.stack([w[first], dk[first], th[first], at[first]])), 1)
+        mine = np.cumsum(later == 0)  # which head is before each row
+        hw, hdk, hth, hat = heads[:, mine]
+        keep = (later == 1) & (hw == w) & ((mine > 0) | some) & ((hdk != dk) | (hth != th) | (at >= hat + WINDOW))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (dk, th, at, hdk)], names=["dk", "th", "at", "source"])
+        some, head = some or len(first) > 0, heads[:, -1:]
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(dk, th, at, sources) for keyed docs (dk, th, text): the words at which a window starts that occurs earlier, and the dk of first places.
 
@@ -95,10 +112,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     again = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "passage-repeated")
     asked = found.join(again, "h", "left_semi").groupBy("dk", "th").agg(F.collect_set("h").alias("hs"))
     windows = materialize(docs.join(asked, ["dk", "th"]).mapInArrow(_windows, "w long, dk long, th long, at long"), "passage-windows")
+    release(found, again)
     first = windows.groupBy("w").agg(F.min(F.struct("dk", "th", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w", "f")
-    far = (F.struct("dk", "th") != F.struct("f.dk", "f.th")) | (F.col("at") >= F.col("f.at") + WINDOW)
-    late = windows.join(first, "w").where(far)
-    return materialize(late.groupBy("dk", "th").agg(F.collect_set("at").alias("at"), F.collect_set("f.dk").alias("sources")), "passage-cuts")
+    # A common passage's windows are dealt to SALTS parts, each with the place of the first before them.
+    part = F.pmod(F.xxhash64("dk", "th", "at"), F.lit(SALTS)).cast("int")
+    heads = first.select("w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"), F.lit(0).alias("later"), "f.dk", "f.th", "f.at")
+    both = heads.union(windows.select("w", part, F.lit(1), "dk", "th", "at"))
+    late = both.repartition("w", "part").sortWithinPartitions("w", "part", "later").mapInArrow(_late, "dk long, th long, at long, source long")
+    cuts = materialize(late.groupBy("dk", "th").agg(F.collect_set("at").alias("at"), F.collect_set("source").alias("sources")), "passage-cuts")
+    release(windows)
+    return cuts
 
 
 def cut(text: str, at: list[int]) -> tuple[str, int]:
