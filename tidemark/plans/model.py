@@ -92,13 +92,14 @@ def rdc(x: np.ndarray, y: np.ndarray, k: int = 10, s: float = 1 / 6, seed: int =
         f = np.sin(np.stack([cdf, np.ones(len(v))], 1) @ rng.normal(size=(2, k)) * s)
         return f - f.mean(0)
 
-    if len(x) < 3 or x.std() == 0 or y.std() == 0:
+    if len(x) < 3 or (x == x[0]).all() or (y == y[0]).all():
         return 0.0
     a, b = lift(x), lift(y)
     qa, ra = np.linalg.qr(a)
     qb, rb = np.linalg.qr(b)
     qa, qb = qa[:, np.abs(np.diag(ra)) > 1e-9 * np.abs(np.diag(ra)).max()], qb[:, np.abs(np.diag(rb)) > 1e-9 * np.abs(np.diag(rb)).max()]
-    return float(min(1.0, np.linalg.svd(qa.T @ qb, compute_uv=False)[0]))
+    both = qa.T @ qb
+    return float(min(1.0, np.linalg.svd(both, compute_uv=False)[0])) if both.size else 0.0
 
 
 def rdc_matrix(m: np.ndarray, most: int = 5_000) -> np.ndarray:
