@@ -22,6 +22,8 @@ from .suffix_dedup import PLACE, _powers, merge, runs
 WINDOW, GRAM = 50, 25
 #: Parts that the windows of one hash are dealt to.
 SALTS = 16
+#: Windows that a task gathers before it hands them on.
+TOLD = 1 << 16
 _FOLD = bytes.maketrans(UPPER.encode() + b"\t\n\x0b\x0c\r", LOWER.encode() + b"     ")
 _WORD = re.compile(rb"[^ ]+")
 _BLANKS = re.compile(rb"[ \t\x0b\x0c\r]*")
@@ -44,17 +46,24 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are the leftmost least of some window of words."""
+def window_anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of words, the position and the hash of its leftmost least gram; equal windows have equal hashes."""
     if len(words) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(words, GRAM)
     ranked = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
     least = np.lib.stride_tricks.sliding_window_view(ranked, WINDOW - GRAM + 1).min(1)
-    found = np.unique(least & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+    found = (least & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
     return found, h[found]
 
 
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are the leftmost least of some window of words."""
+    found, h = window_anchors(words)
+    found, at = np.unique(found, return_index=True)
+    return found, h[at]
+
+
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         rows, hs, ns = [], [], []
@@ -68,27 +77,36 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (w, dk, th, at): every window that holds one of the asked anchors."""
+    """Rows (w, h, dk, th, at): every window whose anchor (h) is asked."""
     for batch in pieces(batches):
-        rows, ws, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        rows, ws, hs, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for i, (text, hashes) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             words = word_hashes(text)
-            at, h = anchors(words)
-            at = at[np.isin(h.view(np.int64), np.array(hashes, np.int64))]
-            w = gram_hashes(words, WINDOW)
-            edge = np.zeros(len(w) + 1, np.int64)
-            np.add.at(edge, np.maximum(at - (WINDOW - GRAM), 0), 1)
-            np.add.at(edge, np.minimum(at + 1, len(w)), -1)
-            found = np.flatnonzero(np.cumsum(edge[:-1]))
+            h = window_anchors(words)[1]
+            found = np.flatnonzero(np.isin(h.view(np.int64), np.array(hashes, np.int64)))
             rows.append(np.full(len(found), i))
-            ws.append(w[found])
+            ws.append(gram_hashes(words, WINDOW)[found])
+            hs.append(h[found])
             ats.append(found)
         take = pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ws).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(ats))], names=["w", "dk", "th", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ws).view(np.int64)), pa.array(np.concatenate(hs).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(ats))], names=["w", "h", "dk", "th", "at"])
 
 
 def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (w, part, later, dk, th, at) sorted by w, part and later: the windows that follow their first place and don't overlap it."""
+    """From rows (w, part, later, dk, th, at) sorted within their anchors by w and later: (dk, th, at, source) of windows that follow
+    their first place and don't overlap it, those of a document that come near each other in one row."""
+    held: list[list[np.ndarray]] = []
+
+    def told() -> pa.RecordBatch:
+        dk, th, at, source = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((at, th, dk))
+        dk, th, at, source = dk[order], th[order], at[order], source[order]
+        first = np.flatnonzero(np.concatenate(([True], (dk[1:] != dk[:-1]) | (th[1:] != th[:-1])))[: len(dk)])
+        ends = pa.array(np.append(first, len(dk)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at, source)]
+        return pa.RecordBatch.from_arrays([pa.array(dk[first]), pa.array(th[first]), *lists], names=["dk", "th", "at", "source"])
+
     head = np.zeros((4, 1), np.int64)  # w, dk, th, at of the last first place; at start none
     some = False
     for batch in batches:
@@ -98,8 +116,12 @@ def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.cumsum(later == 0)  # which head is before each row
         hw, hdk, hth, hat = heads[:, mine]
         keep = (later == 1) & (hw == w) & ((mine > 0) | some) & ((hdk != dk) | (hth != th) | (at >= hat + WINDOW))
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (dk, th, at, hdk)], names=["dk", "th", "at", "source"])
+        held.append([x[keep] for x in (dk, th, at, hdk)])
+        if sum(len(x[0]) for x in held) >= TOLD:
+            yield told()
         some, head = some or len(first) > 0, heads[:, -1:]
+    if held:
+        yield told()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -111,15 +133,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = materialize(docs.mapInArrow(_asked, "dk long, th long, h long, n long"), "passage-anchors")
     again = materialize(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "passage-repeated")
     asked = found.join(again, "h", "left_semi").groupBy("dk", "th").agg(F.collect_set("h").alias("hs"))
-    windows = materialize(docs.join(asked, ["dk", "th"]).mapInArrow(_windows, "w long, dk long, th long, at long"), "passage-windows")
+    windows = materialize(docs.join(asked, ["dk", "th"]).mapInArrow(_windows, "w long, h long, dk long, th long, at long"), "passage-windows")
     release(found, again)
-    first = windows.groupBy("w").agg(F.min(F.struct("dk", "th", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w", "f")
-    # A common passage's windows are dealt to SALTS parts, each with the place of the first before them.
-    part = F.pmod(F.xxhash64("dk", "th", "at"), F.lit(SALTS)).cast("int")
-    heads = first.select("w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"), F.lit(0).alias("later"), "f.dk", "f.th", "f.at")
-    both = heads.union(windows.select("w", part, F.lit(1), "dk", "th", "at"))
-    late = both.repartition("w", "part").sortWithinPartitions("w", "part", "later").mapInArrow(_late, "dk long, th long, at long, source long")
-    cuts = materialize(late.groupBy("dk", "th").agg(F.collect_set("at").alias("at"), F.collect_set("source").alias("sources")), "passage-cuts")
+    first = windows.groupBy("w").agg(F.min(F.struct("dk", "th", "at")).alias("f"), F.min("h").alias("h"), F.count("*").alias("n")).where("n > 1").select("w", "h", "f")
+    # Windows of an anchor meet, dealt by document to SALTS parts, each with the place of the first before them.
+    part = F.pmod(F.xxhash64("dk", "th"), F.lit(SALTS)).cast("int")
+    heads = first.select("h", "w", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"), F.lit(0).alias("later"), "f.dk", "f.th", "f.at")
+    both = heads.union(windows.select("h", "w", part, F.lit(1), "dk", "th", "at")).repartition("h", "part").sortWithinPartitions("h", "part", "w", "later")
+    late = both.select("w", "part", "later", "dk", "th", "at").mapInArrow(_late, "dk long, th long, at array<long>, source array<long>")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    cuts = materialize(late.groupBy("dk", "th").agg(every("at").alias("at"), every("source").alias("sources")), "passage-cuts")
     release(windows)
     return cuts
 
