@@ -388,6 +388,19 @@ def test_mixing_is_a_distribution():
     assert math.isclose(float((10**four).sum()), float(10 ** three[0]), rel_tol=1e-6)
 
 
+def test_mixing_counts_beyond_single_precision(spark):
+    """Over 2**24 units of one beginning, as at 6 GB: totals by two bytes and counts of what follows still agree."""
+    rows = [("the ", (1 << 24) + 1), ("thing ", 3), ("there ", 1), ("some ", 5)]
+    u = context_mixing.units([w for w, _ in rows])
+    first = u.first.tolist()
+    a, b = (((x[first] ^ context_mixing._TOP).view(np.int64)).tolist() for x in (u.a, u.b))
+    found = spark.createDataFrame([(1, len(w), x, y, n) for (w, n), x, y in zip(rows, a, b, strict=True)], "kind byte, size byte, a long, b long, n long")
+    mixer, count = context_mixing.train(found)
+    assert count == 4 and np.isfinite(mixer.weights).all() and np.isfinite(mixer.apm).all()
+    priced = context_mixing.costs(found, mixer, count).collect()
+    assert len(priced) == 4 and all(math.isfinite(r["cost"]) and r["cost"] < 0 for r in priced)
+
+
 def test_mixing_tables_find_keys():
     keys = context_mixing.mixed(np.arange(1, 5001))
     table = context_mixing.Table.of(keys, np.arange(5000.0))

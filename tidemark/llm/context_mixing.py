@@ -440,7 +440,8 @@ def train(found: DataFrame) -> tuple[Mixer, int]:
     """
     spark, seen = found.sparkSession, found.where("n > 0")
     counts = seen.groupBy("kind", (F.shiftright("a", 48) + 32768).alias("two")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).toPandas()
-    prefixes = np.zeros((TOPICS * KINDS, 65536), np.float32)
+    # Double precision: a total that is rounded can be less than the counts of what follows it.
+    prefixes = np.zeros((TOPICS * KINDS, 65536))
     prefixes[counts["kind"].to_numpy(int), counts["two"].to_numpy(int)] = counts["n"].to_numpy(float)
     mixer = Mixer.untrained(prefixes)
     grams = seen.select("kind", "size", "a", "b", "n").mapInArrow(_grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
