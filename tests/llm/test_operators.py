@@ -388,6 +388,24 @@ def test_mixing_is_a_distribution():
     assert math.isclose(float((10**four).sum()), float(10 ** three[0]), rel_tol=1e-6)
 
 
+def test_mixing_classes_come_from_all_texts(spark, monkeypatch):
+    """Each class is the mean of every text that is nearest to it, far more texts than a sample held, however they are dealt."""
+    monkeypatch.setattr(context_mixing, "TOPIC_PASSES", 100)  # until nothing moves
+    rng = random.Random(8)
+    texts = [None, "", " \n"] + [" ".join(f"{'abcdef'[k % 6]}{rng.randint(0, 9)}" for _ in range(rng.randint(1, 12))) for k in range(5_000)] + ["one text, often"] * 500
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = context_mixing.topics(df)
+    flat, sizes, space = context_mixing._flat(texts)
+    x = context_mixing.directions(*context_mixing._words(flat, np.cumsum(sizes), space), len(texts))
+    assert (x[:3] == 0).all() and (np.abs(np.sqrt((x[3:] ** 2).sum(1)) - context_mixing.UNIT) < 4).all()
+    x = x[3:]
+    own = (x @ got.centres.T).argmax(1)
+    for k in range(context_mixing.TOPICS):
+        assert not (own == k).any() or (context_mixing._centres(x[own == k].astype(np.int64).sum(0)) == got.centres[k]).all()
+    assert (context_mixing.topics(df.repartition(7)).centres == got.centres).all()
+    assert not context_mixing.topics(df.where("text = ''")).centres.any()
+
+
 def test_mixing_counts_beyond_single_precision(spark):
     """Over 2**24 units of one beginning, as at 6 GB: totals by two bytes and counts of what follows still agree."""
     rows = [("the ", (1 << 24) + 1), ("thing ", 3), ("there ", 1), ("some ", 5)]

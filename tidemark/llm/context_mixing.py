@@ -2,7 +2,7 @@
 
 A text is a run of units: words with the white space behind them, cut after SPAN bytes, the last one with the end of
 the text. A unit's bytes are predicted bit by bit. Two predictors count, over all training texts, the units that begin
-as this one does: among all units, and among those of texts alike in common words that follow the same kind of unit.
+as this one does: among all units, and among those of texts alike in their words that follow the same kind of unit.
 Three more have hashed contexts of one to three bytes. A gate (how often the contexts were seen) selects the weights that mix the predictors' log odds; the
 weights are trained online, predicting each unit without one of its own occurrences, and an adaptive table over the
 byte so far refines the mixed probability. The counts grow with the corpus and stay in written tables: every distinct
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, fold, materialize, pieces
+from .common import LOWER, UPPER, fold, materialize, pieces, release
 from .suffix_dedup import _powers
 
 #: Bytes of a unit at most.
@@ -30,8 +30,12 @@ SPAN = 16
 ORDERS, SLOT_BITS = (1, 2, 3), (16, 18, 21)
 #: What is before a unit: an end (of a line, a sentence, or nothing), anything else, the same word.
 KINDS = 3
-#: Classes of texts by their common words (so languages fall apart); words that are looked at; texts they are fitted on at most, those of the least hashes.
-TOPICS, TOPIC_WORDS, TOPIC_SAMPLE = 8, 512, 2_000
+#: Classes of texts by their words (so languages fall apart); slots that words are hashed to; passes over all training texts, and starts that share them.
+TOPICS, TOPIC_BITS, TOPIC_PASSES, TOPIC_STARTS = 8, 9, 10, 8
+#: Tasks of such a pass at most: each sends its sums to the driver.
+TOPIC_TASKS = 64
+#: Lengths of a text's direction and of a class's: their products stay below 2**24, so single precision is exact in any order.
+UNIT, CENTRE = 255, 4_095
 #: Of units and words, the most common that every scorer knows; the rest meet their costs and counts in a join.
 HOT_UNITS, HOT_WORDS = 300_000, 200_000
 #: Distinct units and words that a counting task holds before it passes their counts on.
@@ -82,12 +86,30 @@ class Units:
         return mixed(self.a, self.b, self.size, self.kind)
 
 
-def units(texts: list[str | None]) -> Units:
+def _flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts with their ends, SPAN more, the size of each, and which bytes are white space."""
     data = [((t or "").encode().replace(b"\0", b"\0\1") if t and "\0" in t else (t or "").encode()) + b"\0\0" for t in texts]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     flat = np.frombuffer(b"".join([*data, b"\0" * SPAN]), np.uint8)
-    n, ends = int(sizes.sum()), np.cumsum(sizes)
-    space = _SPACE[flat[:n]]
+    return flat, sizes, _SPACE[flat[: int(sizes.sum())]]
+
+
+def _words(flat: np.ndarray, ends: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, runs of what is neither white space nor the end, folded; the text that each is in."""
+    n = len(space)
+    letter = np.zeros(n + 2, bool)
+    letter[1:-1] = ~space
+    letter[ends] = letter[ends - 1] = False
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    low, high = edge[::2], edge[1::2]
+    power, inverse = _powers(n)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[flat[:n]] * power[:n])))
+    return mixed((sums[high] - sums[low]) * inverse[low], high - low), np.searchsorted(ends, low, "right")
+
+
+def units(texts: list[str | None]) -> Units:
+    flat, sizes, space = _flat(texts)
+    n, ends = len(space), np.cumsum(sizes)
     stop = space.copy()
     stop[ends - 1] = True
     start = np.concatenate(([0], np.flatnonzero(stop)[:-1] + 1)) if n else np.zeros(0, np.int64)
@@ -106,75 +128,79 @@ def units(texts: list[str | None]) -> Units:
     kind = np.where(_SPACE[last], np.where(_ENDS[last] | _ENDS[before], 0, 1), 2).astype(np.int8)
     first = np.searchsorted(start, ends - sizes)
     kind[first] = 0
-    # Words: runs of what is neither white space nor the end.
-    letter = np.zeros(n + 2, bool)
-    letter[1:-1] = ~space
-    letter[ends] = letter[ends - 1] = False
-    edge = np.flatnonzero(letter[1:] != letter[:-1])
-    low, high = edge[::2], edge[1::2]
-    power, inverse = _powers(n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTER[flat[:n]] * power[:n])))
-    word = mixed((sums[high] - sums[low]) * inverse[low], high - low)
-    return Units(a, b, size.astype(np.int8), kind, first, word, np.searchsorted(ends, low, "right"))
+    return Units(a, b, size.astype(np.int8), kind, first, *_words(flat, ends, space))
+
+
+def directions(word: np.ndarray, word_text: np.ndarray, texts: int) -> np.ndarray:
+    """The roots of each text's counts of words by slot, whole numbers, UNIT long; zeros for a text without words."""
+    m = 1 << TOPIC_BITS
+    at = (word >> np.uint64(64 - TOPIC_BITS)).astype(np.int64)
+    counts = np.bincount(word_text * m + at, minlength=texts * m).reshape(texts, m)
+    return np.rint(UNIT * np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))).astype(np.float32)
+
+
+def _centres(sums: np.ndarray) -> np.ndarray:
+    """Sums of directions (whole numbers) as directions of their own, CENTRE long."""
+    size = np.sqrt((sums.astype(float) ** 2).sum(-1, keepdims=True))
+    return np.rint(CENTRE * sums / np.maximum(size, 1e-12)).astype(np.float32)
 
 
 @dataclass
 class Topics:
-    """Classes of texts: sorted hashes of common words, and each class's direction over the roots of their counts."""
+    """Classes of texts: each one's direction over the slots of words."""
 
-    words: np.ndarray
     centres: np.ndarray
 
-    def directions(self, u: Units, texts: int) -> np.ndarray:
-        m = len(self.words)
-        at = np.minimum(np.searchsorted(self.words, u.word), max(m - 1, 0))
-        met = self.words[at] == u.word if m else np.zeros(len(u.word), bool)
-        x = np.sqrt(np.bincount(u.word_text[met] * m + at[met], minlength=texts * m).reshape(texts, m))
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
-
     def label(self, u: Units, texts: int) -> Units:
-        """The units with kinds told apart by their texts' classes; a text without common words is in the first."""
-        own = (self.directions(u, texts) @ self.centres.T).round(9).argmax(1) if len(self.words) else np.zeros(texts, np.int64)
+        """The units with kinds told apart by their texts' classes; a text without words is in the first."""
+        own = (directions(u.word, u.word_text, texts) @ self.centres.T).argmax(1)
         kind = u.kind + KINDS * np.repeat(own, np.diff(np.append(u.first, len(u.a)))).astype(np.int8)
         return Units(u.a, u.b, u.size, kind, u.first, u.word, u.word_text)
 
 
 def topics(docs: DataFrame) -> Topics:
-    """Classes fitted by spherical means on a bounded sample of docs (text)."""
-    rank = F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1))
-    share = TOPIC_SAMPLE / max(1, docs.count())
-    sample = materialize(docs.where(rank < F.lit(int(min(1.0, share) * (1 << 32)))).select("text"), "mixing-sample")
+    """Classes of all of docs (text) by spherical means, repeated rows as often as they occur.
 
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=PIECE):
-            u = units(batch.column(0).to_pylist())
-            word, n = np.unique(np.unique(np.stack([u.word_text.astype(np.uint64), u.word]), axis=1)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["w", "n"])
-
-    found = sample.mapInArrow(common, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    words = np.sort(found.orderBy(F.desc("n"), "w").limit(TOPIC_WORDS).toPandas()["w"].to_numpy(np.int64).view(np.uint64))
-    blank = Topics(words, np.zeros((TOPICS, len(words))))
+    Every pass reads the directions of all texts and moves the centres of all starts; those of the start whose texts
+    are nearest to their centres stay. Sums are whole numbers, so the result doesn't depend on partitions.
+    """
+    m = 1 << TOPIC_BITS
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, limit=PIECE):
-            x = blank.directions(units(batch.column(0).to_pylist()), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["x"])
-
-    if not len(words):
-        return blank
-    # Equal texts are one; rows in one order, so the result doesn't depend on partitions.
-    x = np.unique(np.stack(sample.distinct().mapInArrow(told, "x array<float>").toPandas()["x"].to_numpy()).astype(float), axis=0)
-    x, rng, best = x[(x * x).sum(1) > 0.5], np.random.default_rng(6), (-1.0, blank.centres)
-    for _ in range(8 if len(x) else 0):
-        centres = x[rng.choice(len(x), TOPICS)]
-        for _ in range(25):
-            near = x @ centres.T
-            own = near.argmax(1)
-            sums = np.stack([x[own == k].sum(0) for k in range(TOPICS)])
-            size = np.sqrt((sums * sums).sum(1, keepdims=True))
-            centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-        best = max(best, (float(near.max(1).sum()), centres), key=lambda c: c[0])
-    return Topics(words, best[1])
+            flat, sizes, space = _flat(batch.column(0).to_pylist())
+            x = directions(*_words(flat, np.cumsum(sizes), space), batch.num_rows).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[x.any(1)]], pa.binary())], names=["x"])
+
+    written = materialize(docs.mapInArrow(told, "x binary"), "mixing-directions")
+    # Starts are the directions of the least hashes.
+    least = written.select("x", F.xxhash64("x").alias("h")).groupBy("h").agg(F.min("x").alias("x")).orderBy("h").limit(TOPICS * TOPIC_STARTS).collect()
+    starts = np.array([np.frombuffer(r["x"], np.uint8) for r in least], np.int64).reshape(-1, m)
+    if not len(starts):
+        release(written)
+        return Topics(np.zeros((TOPICS, m), np.float32))
+    centres = _centres(np.resize(starts, (TOPIC_STARTS, TOPICS, m)))
+    for _ in range(TOPIC_PASSES):
+
+        def moved(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            sums, near = np.zeros((TOPIC_STARTS, TOPICS, m)), np.zeros(TOPIC_STARTS)
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, m).astype(np.float32)
+                like = (x @ centres.reshape(-1, m).T).reshape(len(x), TOPIC_STARTS, TOPICS)
+                own = like.argmax(2)
+                near += like.max(2).sum(0, dtype=float)
+                # Up to 65,793 rows of a batch, single precision is exact here too.
+                sums += ((own[:, :, None] == np.arange(TOPICS)).reshape(len(x), -1).T.astype(np.float32) @ x).reshape(sums.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([y.astype("<i8").tobytes()], pa.binary()) for y in (sums, near)], names=["sums", "near"])
+
+        rows = written.coalesce(TOPIC_TASKS).mapInArrow(moved, "sums binary, near binary").collect()
+        sums, near = (sum(np.frombuffer(r[c], "<i8") for r in rows) for c in ("sums", "near"))
+        sums = sums.reshape(centres.shape)
+        before, centres = centres, np.where(sums.any(2, keepdims=True), _centres(sums), centres)
+        if (before == centres).all():
+            break
+    release(written)
+    return Topics(centres[near.argmax()])
 
 
 def _summed(kind: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
