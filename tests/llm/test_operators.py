@@ -63,6 +63,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    """By rounds and in one task alike, and after rounds that leave few; a small graph costs the driver a few jobs."""
+    rng = random.Random(12)
+    links = [(i, i + 1) for i in range(0, 300)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(250)] + [(-5, 2000)]
+    edges, got, jobs = spark.createDataFrame(links, "a long, b long"), [], []
+    for few in (-1, 150, 200_000):
+        monkeypatch.setattr("tidemark.llm.common.FEW", few)
+        spark.sparkContext.setJobGroup(f"few{few}", "components")
+        got.append(pairs(components(edges), "node", "component"))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few{few}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1] == got[2] and len(got[0]) > 500
+    assert jobs[2] <= 12 and jobs[2] < jobs[0] / 2, jobs
+
+
 def test_simhash(docs, none, texts):
     def fp(t):
         w = WORD.findall(lower(t or ""))
