@@ -389,6 +389,19 @@ def test_mixing_counts_what_begins_alike():
     assert (depth == 8 * size).all()
 
 
+def test_mixing_predicts_shared_beginnings_once():
+    """Units of a kind that begin alike share their predictions there, apart by whether they occur once; counts add up."""
+    names = [b"beginning" + bytes([97 + i, 97 + j]) for i in range(26) for j in range(10)]
+    mixer, unit = _mixer([(u, k, 1 + (i + k) % 3) for i, u in enumerate(names) for k in (0, 4)])
+    bits = 0
+    for rows, which, made, node, bit, x, gate in mixer.predictions(*unit, without=True):
+        assert len(rows) == len(which) == 520 and x.shape == (context_mixing.TRIES, len(made)) and len(node) == len(bit) == len(gate) == len(made)
+        assert made.sum() == unit[4].sum() and (np.bincount(which, unit[4][rows]) == made).all()
+        assert len(made) == 4 if bits < 72 else len(made) > 4  # two kinds, units that occur once and the others
+        bits += 1
+    assert bits == 88
+
+
 def test_mixing_is_a_distribution():
     words = [(b"stone ", 0, 5), (b"store ", 0, 2), (b"river ", 1, 9)]
     every = [(b"sto" + bytes([c]), 0, 0) for c in range(256)]

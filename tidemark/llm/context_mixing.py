@@ -37,7 +37,7 @@ TOPIC_TASKS = 64
 #: Lengths of a text's direction and of a class's: their products stay below 2**24, so single precision is exact in any order.
 UNIT, CENTRE = 255, 4_095
 #: Of units and words, the most common that every scorer knows; the rest meet their costs and counts in a join.
-HOT_UNITS, HOT_WORDS = 300_000, 200_000
+HOT_UNITS, HOT_WORDS = 1_000_000, 500_000
 #: Distinct units and words that a counting task holds before it passes their counts on.
 HELD = 1_200_000
 #: Bytes of text that a task takes apart at once: what it holds beside them is some 60 times as much.
@@ -203,10 +203,21 @@ def topics(docs: DataFrame) -> Topics:
     return Topics(centres[near.argmax()])
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of hashes, and where in it runs of equal ones begin; if others share its high bits, a hash may have several runs."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    own = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))[: len(own)])
+
+
 def _summed(kind: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """The same rows, each once, with the sum of n."""
-    _, at, which = np.unique(mixed(a, b, size, kind), return_index=True, return_inverse=True)
-    return [kind[at], size[at], a[at], b[at], np.bincount(which, n, len(at)).astype(np.int64)]
+    """The same rows, (nearly) each once, with the sum of n."""
+    order, first = _runs(mixed(a, b, size, kind))
+    at = order[first]
+    return [kind[at], size[at], a[at], b[at], np.add.reduceat(n[order], first)]
 
 
 def count_texts(docs: DataFrame, classes: Topics) -> DataFrame:
@@ -295,59 +306,82 @@ class Mixer:
             self._depths = out
         return self._depths
 
-    def inputs(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, kind: np.ndarray, n: np.ndarray, without: bool) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each bit of units sorted by (a, b), all that share a prefix of two bytes among them: the rows it is a bit of, node, bit, log odds of what comes, gate.
+    def predictions(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, kind: np.ndarray, n: np.ndarray, without: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """For each bit of units sorted by (a, b), all that share a prefix of two bytes among them: the rows it is a bit of, which prediction is whose, and of each prediction how often it is made, node, bit, log odds of what comes (by predictor), gate.
 
+        Units of a kind that begin alike up to the end of a byte share its predictions.
         without: as if each unit had occurred once less.
         """
-        rows, less = np.arange(len(a)), (n > 0).astype(np.float64) if without else np.zeros(len(a))
-        rare = (n == 1).astype(np.float64) if without else less
-        times, gram = n.astype(np.float64), np.zeros(len(a), np.uint64)
+        rows = np.argsort(kind.astype(np.int8), kind="stable")
+        every, share = n.astype(np.float64), shared_bits(a, b)
+        at = rows  # of units in order of their kinds: their places in the order of bytes
+        a, b, kind, times = a[rows], b[rows], kind[rows], every[rows]
+        own = shared_bits(a, b)
+        own[1:][kind[1:] != kind[:-1]] = -1
+        # Units that never occur, once, or more often: without one of their own occurrences, they are predicted apart.
+        often = np.minimum(n[rows], 2).astype(np.int64) if without else np.zeros(len(rows), np.int64)
+        size_all, size = size, size[rows]
         for j in range(SPAN):
             keep = size > j
             if not keep.any():
                 return
             if not keep.all():  # no other unit begins with all of one, so what ends here takes its whole run along
-                rows, a, b, size, kind, times, less, rare, gram = (x[keep] for x in (rows, a, b, size, kind, times, less, rare, gram))
-            two = (a >> np.uint64(48)).astype(np.int64)
-            among = (np.zeros(len(a), np.int64), kind)
-            sorts = []
-            for own in among if j > 1 else ():
-                by = np.argsort(own, kind="stable")
-                back = np.empty(len(by), np.int64)
-                back[by] = np.arange(len(by))
-                share = shared_bits(a[by], b[by])
-                share[1:][own[by][1:] != own[by][:-1]] = -1
-                sorts.append((back, share, times[by]))
+                keep_all = size_all > j
+                every, share, size_all = every[keep_all], share[keep_all], size_all[keep_all]
+                at = (np.cumsum(keep_all) - 1)[at[keep]]
+                rows, a, b, size, kind, times, own, often = (x[keep] for x in (rows, a, b, size, kind, times, own, often))
+            new = own < 8 * (j + 1)
+            first = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            code = 3 * group + often
+            found = np.bincount(code, minlength=3 * len(first)) > 0
+            which = (np.cumsum(found) - 1)[code]
+            of, sort = np.divmod(np.flatnonzero(found), 3)
+            made = np.bincount(which, times, len(of))
+            unit = first[of]
+            two, kinds = (a[unit] >> np.uint64(48)).astype(np.int64), kind[unit]
+            minus, once = (sort > 0).astype(np.float64), (sort == 1).astype(np.float32)
+            among = (np.zeros(len(unit), np.int64), kinds)
+            if j > 1:
+                new_all = share < 8 * (j + 1)
+                first_all = np.flatnonzero(new_all)
+                begins = (share[first_all], np.add.reduceat(every, first_all), (np.cumsum(new_all) - 1)[at[unit]]), (own[first], np.add.reduceat(times, first), of)
 
             def totals(d: int) -> list[np.ndarray]:
                 if d <= 16:
-                    return [table[own, two >> (16 - d)] for table, own in zip(self.depths()[d], among, strict=True)]
-                fresh = [(back, share < d, counts) for back, share, counts in sorts]
-                return [np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1][back] for back, new, counts in fresh]
-
-            byte = ((a >> np.uint64(56 - 8 * j)) if j < 8 else (b >> np.uint64(120 - 8 * j))).astype(np.int64) & 255
-            contexts = [slots(gram, o, np.full(len(gram), j)) for o in ORDERS]
+                    return [table[own_, two >> (16 - d)] for table, own_ in zip(self.depths()[d], among, strict=True)]
+                fresh = [(share_ < d, counts, place) for share_, counts, place in begins]
+                return [np.add.reduceat(counts, np.flatnonzero(new_))[(np.cumsum(new_) - 1)[place]] for new_, counts, place in fresh]
+
+            high, low = a[unit], b[unit]
+            byte = ((high >> np.uint64(56 - 8 * j)) if j < 8 else (low >> np.uint64(120 - 8 * j))).astype(np.int64) & 255
+            gram = (high >> np.uint64(64 - 8 * j) if j else np.zeros(len(unit), np.uint64)) if j <= 8 else (high << np.uint64(8 * j - 64)) | (low >> np.uint64(128 - 8 * j))
+            contexts = [slots(gram, o, np.full(len(unit), j)) for o in ORDERS]
             seen = totals(8 * j)
             for i in range(8):
                 node, bit = (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
-                after = totals(8 * j + i + 1)
-                x = np.empty((len(rows), TRIES), np.float32)
+                after, ones = totals(8 * j + i + 1), bit == 1
+                x = np.empty((TRIES, len(unit)), np.float32)
+                gate = np.zeros(len(unit), np.int64)
                 for k in range(2):
-                    x[:, k] = (after[k] - less + _PRIOR) / (seen[k] - after[k] + _PRIOR)
+                    x[k] = (after[k] - minus + _PRIOR) / (seen[k] - after[k] + _PRIOR)
                 for k, context in enumerate(contexts):
-                    at = slot(context, node, SLOT_BITS[k])
-                    one, none = self.ones[k][at], self.zeros[k][at]
-                    this, other = np.where(bit == 1, one, none), np.where(bit == 1, none, one)
-                    this = np.maximum(this - rare, 0)
-                    x[:, 2 + k] = (this + _PRIOR) / (other + _PRIOR)
-                gate = ((this + other) >= 4).astype(np.int64)
+                    where = slot(context, node, SLOT_BITS[k])
+                    one, none = self.ones[k][where], self.zeros[k][where]
+                    this, other = np.where(ones, one, none), np.where(ones, none, one)
+                    this = np.maximum(this - once, 0)
+                    x[2 + k] = (this + np.float32(_PRIOR)) / (other + np.float32(_PRIOR))
+                gate += (this + other) >= 4
                 for k in range(2):
-                    times_seen = seen[k] - less
+                    times_seen = seen[k] - minus
                     gate = gate * 4 + (times_seen >= 1) + (times_seen >= 4) + (times_seen >= 32)
-                yield rows, node, bit, np.log(x), gate
+                yield rows, which, made, node, bit, np.log(x, out=x), gate
                 seen = after
-            gram = (gram << np.uint64(8)) | byte.astype(np.uint64)
+
+    def inputs(self, *unit: np.ndarray, without: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same for every row by itself: for each bit the rows it is a bit of, node, bit, log odds of what comes, gate."""
+        for rows, which, _, node, bit, x, gate in self.predictions(*unit, without=without):
+            yield rows, node[which], bit[which], x.T[which], gate[which]
 
     def refine(self, node: np.ndarray, z: np.ndarray) -> np.ndarray:
         """The adaptive table's probability of a one at log odds z, between its places."""
@@ -359,21 +393,26 @@ class Mixer:
     def cost(self, *unit: np.ndarray) -> np.ndarray:
         """log10 of the probability of each unit (a, b, size, kind, n), sorted by (a, b)."""
         total = np.zeros(len(unit[0]))
-        for rows, node, bit, x, gate in self.inputs(*unit, without=False):
-            z = np.einsum("nk,nk->n", x, self.weights[gate])
+        byte = 0.0
+        for rows, which, _, node, bit, x, gate in self.predictions(*unit, without=False):
+            z = self.odds(x, gate)
             fine = self.refine(node, np.where(bit == 1, z, -z))
             p = 0.5 * squash(z) + 0.5 * np.where(bit == 1, fine, 1 - fine)
-            total[rows] += np.log10(np.clip(p, 1e-6, 1 - 1e-6))
+            byte = np.log10(np.clip(p, 1e-6, 1 - 1e-6)) + (byte if node[0] > 1 else 0.0)
+            if node[0] > 127:
+                total[rows] += byte[which]
         return total
 
+    def odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The log odds of predictors as mixed by their gates' weights."""
+        return sum(self.weights[:, k][gate] * x[k] for k in range(TRIES))
+
     def learn(self, pace: np.ndarray, used: np.ndarray, hits: np.ndarray, total: np.ndarray, *unit: np.ndarray) -> None:
         """Online steps over the bits of units; pace: squares of earlier steps; used: counts by gate; hits and total: by place in the adaptive table."""
-        n = unit[4].astype(np.float64)
-        for rows, node, bit, x, gate in self.inputs(*unit, without=True):
-            times = n[rows]
-            z = np.einsum("nk,nk->n", x, self.weights[gate])
+        for _, _, times, node, bit, x, gate in self.predictions(*unit, without=True):
+            z = self.odds(x, gate)
             err, weight = (1 - squash(z)) * times, np.bincount(gate, times, GATES)
-            step = np.stack([np.bincount(gate, err * x[:, k], GATES) for k in range(TRIES)], 1) / np.maximum(weight, 1)[:, None]
+            step = np.stack([np.bincount(gate, err * x[k], GATES) for k in range(TRIES)], 1) / np.maximum(weight, 1)[:, None]
             pace += step * step
             self.weights += RATE * step / np.sqrt(pace + 1e-9)
             used += weight
@@ -390,7 +429,19 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, n): three bytes of context, a byte, and how far into a unit; counted once for every distinct unit."""
+    """(g, n): three bytes of context, a byte, and how far into a unit; counted once for every distinct unit, HELD of them together at most."""
+    held: list[list[np.ndarray]] = []
+
+    def summed() -> list[np.ndarray]:
+        g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first = _runs(mixed(g))
+        return [g[order[first]], np.add.reduceat(n[order], first)]
+
+    def told() -> pa.RecordBatch:
+        g, n = summed()
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+
     for batch in batches:
         a, b, size, _, _ = _columns(batch)
         gram, found = np.zeros(len(a), np.uint64), []
@@ -398,8 +449,13 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = ((a >> np.uint64(56 - 8 * j)) if j < 8 else (b >> np.uint64(120 - 8 * j))) & np.uint64(255)
             gram = ((gram << np.uint64(8)) | own) & np.uint64(0xFFFFFFFF)
             found.append((gram | np.uint64(min(j, 3) << 32))[size > j])
-        g, n = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+        held.append(list(np.unique(np.concatenate(found), return_counts=True)))
+        if sum(len(x[0]) for x in held[1:]) > HELD // 2:
+            held[:] = [summed()]
+            if len(held[0][0]) > HELD // 2:
+                yield told()
+    if held:
+        yield told()
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,8 +622,10 @@ def _most(df: DataFrame, key: str, value: str, most: int) -> Table:
         if held > most:
             break
         cut = step
-    some = df.where((F.col("n") > 0) & (level >= cut)).select(key, value, "n").toPandas().sort_values(["n", key], ascending=False)
-    return Table.of(some[key].to_numpy(np.int64).view(np.uint64), some[value].to_numpy(float))
+    some = df.where((F.col("n") > 0) & (level >= cut)).select(key, value, "n").toArrow()
+    keys, values, n = (some.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((keys, n))[::-1]
+    return Table.of(keys[order].view(np.uint64), values[order])
 
 
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -582,7 +640,8 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     classes = topics(docs.where(~out).select("text"))
     partial = count_texts(docs.select("text", (~out).alias("trains")), classes)
-    counted = materialize(partial.groupBy("kind", "size", "a", "b").agg(F.sum("n").alias("n")), "mixing-counts")
+    # Tasks have summed their own rows, so sums before the exchange would gain nothing.
+    counted = materialize(partial.repartition("kind", "size", "a", "b").groupBy("kind", "size", "a", "b").agg(F.sum("n").alias("n")), "mixing-counts")
     words = counted.where("kind = -1").select(F.col("a").bitwiseXOR(F.lit(-(1 << 63))).alias("key"), "n", F.log10(F.col("n").cast("double") + 1).alias("cost"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     found = counted.where("kind >= 0")
@@ -596,11 +655,10 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     names = ["rid", "doc_id", "n_tokens", "n_known", "base", "score", "n_bytes", "what", "key", "tf"]
 
     def rare(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (text, key), and how often each occurs."""
-        order = np.lexsort((key, text))
-        text, key = text[order], key[order]
-        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (key[1:] != key[:-1])))[: len(text)])
-        return text[first], key[first], np.diff(np.append(first, len(text)))
+        """(Nearly) distinct (text, key), and how often each occurs."""
+        order, first = _runs(mixed(text, key))
+        at = order[first]
+        return text[at], key[at], np.diff(np.append(first, len(order)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_table, word_table = told.value
